@@ -26,7 +26,7 @@ from tesserae.llm.common import documents, text_key, with_row, words
 #: Labelled findings that a forest is fitted on at most.
 FINDINGS = 6000
 TREES, DEPTH = 20, 6
-#: Share of trees that must call a candidate a secret.
+#: Share of trees that must be passed for a candidate to be a secret.
 THRESHOLD = 0.5
 MIN_LENGTH = 16
 
@@ -187,7 +187,7 @@ def scan(docs: DataFrame, trees: list[dict] | None = None, id_col: str = "doc_id
     """Every candidate: doc_id, tk, word_no, path, value, score, is_secret."""
     trees = trees or train(labelled_findings(docs.sparkSession))
     found = with_features(candidates(docs, id_col, text_col, path_col)).withColumn("score", score(trees))
-    return found.select("doc_id", "tk", "word_no", "path", "value", "score", (F.col("score") >= THRESHOLD).alias("is_secret"))
+    return found.select("doc_id", "tk", "word_no", "path", "value", "score", (F.col("score") > THRESHOLD).alias("is_secret"))
 
 
 def redact(docs: DataFrame, trees: list[dict] | None = None, id_col: str = "doc_id", text_col: str = "text", path_col: str | None = "source", mask: str = "[SECRET]") -> DataFrame:
