@@ -1,10 +1,11 @@
 """Byte-level BPE counts and ids, equal to those of the tokenizers library.
 
-The library encodes a text pre-token by pre-token. A pre-token never holds a
-blank after another character, and a blank before a non-blank always starts one,
-so a text may be cut before each such blank and the ids of the pieces joined.
-Pieces are remembered, as most recur. Special strings are cut out first, as the
-library does. What is remembered is bounded.
+The library encodes a text pre-token by pre-token, so ids of pre-tokens may be
+remembered and joined. Texts of characters whose class is beyond doubt are cut
+into pre-tokens by the pattern here. Others are cut before each blank that comes
+before a non-blank (one always starts a pre-token), and the library encodes the
+pieces. Special strings are cut out first, as the library does. What is
+remembered is bounded.
 """
 
 from __future__ import annotations
@@ -15,13 +16,14 @@ from array import array
 from collections.abc import Callable
 from itertools import chain
 
-#: Pieces and words that a worker process remembers.
-PIECES, WORDS = 300_000, 700_000
+#: Pre-tokens that a worker process remembers.
+REMEMBERED = 1_000_000
 
-_SIMPLE = re.compile(r"[A-Za-zªµºÀ-ÖØ-öø-ɏ]+")
-_PLAIN = re.compile(" ?" + _SIMPLE.pattern)
-#: A blank followed by white space, or at the end: there a cut before each blank would be wrong.
-_LOOSE = re.compile(r" (?=[\s\x1c-\x1f]|$)")
+_LETTERS = "A-Za-zÀ-ÖØ-öø-ɏ"
+#: A character that is no known letter, ASCII digit, white space or sign.
+_UNKNOWN = re.compile(rf"[^\t-\r\x20-\x7e\xa0-\xa9\xab-\xb1\xb4\xb6-\xb8\xbb\xbf×÷‐-‧‰-⁞€{_LETTERS}]")
+_PRETOKEN = re.compile(rf" ?[{_LETTERS}]+|'(?:[stmd]|re|ve|ll)| ?[0-9]+| ?[^\s0-9{_LETTERS}]+|\s+(?!\S)|\s+")
+_PLAIN = re.compile(rf" ?[{_LETTERS}]+")
 _CUT = re.compile(r" (?=[^\s\x1c-\x1f])")
 
 
@@ -43,7 +45,9 @@ _TABLE = {b: LETTERS[b] for b in range(256)}
 
 
 def byte_level(text: str) -> str:
-    return text.encode("utf-8").decode("latin-1").translate(_TABLE)
+    """A word, perhaps after a blank, in a byte-level vocabulary's letters."""
+    raw = text.encode("utf-8").decode("latin-1")
+    return "Ġ" + raw[1:] if raw[0] == " " and raw[1:].isascii() else raw.translate(_TABLE)
 
 
 class Remembered(dict):
@@ -75,38 +79,22 @@ class ByteTokens:
         self.model = self.tokenizer.model
         self.added = {t.content: i for i, t in self.tokenizer.get_added_tokens_decoder().items()}
         self.special = re.compile("(" + "|".join(re.escape(x) for x in sorted(self.added, key=len, reverse=True)) + ")") if self.added else None
-        #: Little-endian ids of first pieces, of later pieces (less the blank before them), and of words within pieces.
-        self.first = Remembered(self.encode_piece, PIECES // 10)
-        self.later = Remembered(lambda piece: self.encode_piece(" " + piece), PIECES)
-        self.words = Remembered(self._word, WORDS)
-
-    def encode_piece(self, piece: str) -> bytes:
-        """Ids of one piece by the library; a plain word skips its pre-tokenizer."""
-        blank = piece.startswith(" ")
-        word = piece[blank:]
-        m = _SIMPLE.match(word)
-        if m is None:
-            return self._library(piece)
-        ids, rest = self.words[piece[: blank + m.end()]], word[m.end() :]
-        if not rest:
-            return ids
-        # An ASCII sign ends the word; the rest is then cut as it would be in the text.
-        return ids + self.words[rest] if ord(rest[0]) < 128 else self._library(piece)
-
-    def _word(self, word: str) -> bytes:
-        if _PLAIN.fullmatch(word):
-            return array("I", [t.id for t in self.model.tokenize(byte_level(word))]).tobytes()
-        return self._library(word)
+        #: Fragment of a text (a pre-token, or several) to little-endian ids.
+        self.known = Remembered(self._encode, REMEMBERED)
+
+    def _encode(self, fragment: str) -> bytes:
+        if _PLAIN.fullmatch(fragment):  # one pre-token: the model alone does
+            return array("I", [t.id for t in self.model.tokenize(byte_level(fragment))]).tobytes()
+        return self._library(fragment)
 
     def _library(self, text: str) -> bytes:
         return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
 
     def _plain(self, text: str) -> list[bytes]:
-        pieces = text.split(" ") if _LOOSE.search(text) is None else _CUT.split(text)
-        if not pieces[0]:
-            pieces = pieces[1:]
-            return list(map(self.later.__getitem__, pieces))
-        return [self.first[pieces[0]], *map(self.later.__getitem__, pieces[1:])]
+        if _UNKNOWN.search(text) is None:
+            return list(map(self.known.__getitem__, _PRETOKEN.findall(text)))
+        first, *later = _CUT.split(text)
+        return [self.known[first], *(self.known[" " + x] for x in later)]
 
     def parts(self, text: str) -> list[bytes]:
         if not text:
