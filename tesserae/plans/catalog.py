@@ -1,26 +1,16 @@
-"""All catalogued queries of the engine."""
+"""All catalogued queries of the engine, and the SQL for each that SQL can state."""
 
 from __future__ import annotations
 
-from tesserae.operators import density
-from tesserae.plans.registry import Query, Registry, table
+from tesserae.plans import field_queries, mesh_queries, primitive_queries
+from tesserae.plans.registry import Query
 
-R = Registry()
-
-
-@R.add(
-    "histogram_price",
-    """WITH b AS (SELECT min(l_extendedprice) lo, (max(l_extendedprice) - min(l_extendedprice)) / 10 d FROM lineitem),
-    c AS (SELECT CAST(least(greatest(trunc((l_extendedprice - lo) / d), 0), 9) AS BIGINT) AS bin, count(*) AS n FROM lineitem, b GROUP BY 1)
-    SELECT r.range AS bin, coalesce(n, 0) AS freq FROM range(10) r LEFT JOIN c ON c.bin = r.range""",
-)
-def histogram_price(spark, sf_dir):
-    return density.histogram(table(spark, sf_dir, "lineitem"), "l_extendedprice", 10)
+PARTS = (primitive_queries.R, field_queries.R, mesh_queries.R)
 
 
 def queries() -> dict[str, Query]:
-    return dict(R.plans)
+    return {name: plan for part in PARTS for name, plan in part.plans.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return dict(R.sql)
+    return {name: sql for part in PARTS for name, sql in part.sql.items()}
