@@ -185,9 +185,9 @@ def threshold_points_below(spark, d):
     return extraction.threshold_points(table(spark, d, "part").select("p_partkey", "p_size"), "p_size", below=12.9)
 
 
-@R.add("threshold_points_between", "SELECT p_partkey, p_retailprice FROM part WHERE p_retailprice BETWEEN 950.5 AND 1200.25")
+@R.add("threshold_points_between", "SELECT p_partkey, p_retailprice FROM part WHERE p_retailprice BETWEEN 905.5 AND 1200.25")
 def threshold_points_between(spark, d):
-    return extraction.threshold_points(table(spark, d, "part").select("p_partkey", "p_retailprice"), "p_retailprice", 1200.25, 950.5)
+    return extraction.threshold_points(table(spark, d, "part").select("p_partkey", "p_retailprice"), "p_retailprice", 1200.25, 905.5)
 
 
 @R.add("mask_cells", "SELECT event_id FROM events WHERE event_id % 7 = 0 AND event_id < (SELECT count(*) // 7 * 7 FROM events)")

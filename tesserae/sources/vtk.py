@@ -1,0 +1,133 @@
+"""Legacy VTK text files (ASCII): structured points and unstructured grids, read in parallel by file and written whole."""
+
+from __future__ import annotations
+
+from collections.abc import Iterator, Sequence
+from pathlib import Path
+
+import pandas as pd
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+POINTS = "file string, id long, x double, y double, z double, field string, value double"
+CELLS = "file string, cell long, shape int, conn array<long>"
+
+
+def tokens(content: bytes) -> Iterator[str]:
+    text = content.decode("utf-8").split("\n", 2)[2]
+    yield from text.split()
+
+
+def parse(content: bytes) -> dict:
+    """points (list of xyz), cells (shape, conn), point_fields and cell_fields by name."""
+    t = tokens(content)
+    out: dict = {"points": [], "cells": [], "point_fields": {}, "cell_fields": {}}
+    dims, origin, spacing = (1, 1, 1), (0.0, 0.0, 0.0), (1.0, 1.0, 1.0)
+    conns: list[list[int]] = []
+    where, n, axes = "point_fields", 0, {}
+    kind = ""
+    if next(t).upper() != "ASCII":
+        raise ValueError("only ASCII files are read here")
+    for word in t:
+        w = word.upper()
+        if w == "DATASET":
+            kind = next(t).upper()
+        elif w == "DIMENSIONS":
+            dims = tuple(int(next(t)) for _ in range(3))
+        elif w == "ORIGIN":
+            origin = tuple(float(next(t)) for _ in range(3))
+        elif w in ("SPACING", "ASPECT_RATIO"):
+            spacing = tuple(float(next(t)) for _ in range(3))
+        elif w in ("X_COORDINATES", "Y_COORDINATES", "Z_COORDINATES"):
+            count = int(next(t))
+            next(t)
+            axes[w[0]] = [float(next(t)) for _ in range(count)]
+        elif w == "POINTS":
+            count = int(next(t))
+            next(t)
+            out["points"] = [tuple(float(next(t)) for _ in range(3)) for _ in range(count)]
+        elif w in ("CELLS", "POLYGONS", "LINES", "VERTICES"):
+            count = int(next(t))
+            next(t)
+            conns += [[int(next(t)) for _ in range(int(next(t)))] for _ in range(count)]
+        elif w == "CELL_TYPES":
+            out["cells"] = [(int(next(t)), c) for _, c in zip(range(int(next(t))), conns)]
+        elif w in ("POINT_DATA", "CELL_DATA"):
+            where, n = w.lower().replace("data", "fields"), int(next(t))
+        elif w == "SCALARS":
+            name = next(t)
+            next(t)
+            word = next(t)
+            width = 1
+            if word.upper() != "LOOKUP_TABLE":
+                width = int(word)
+                next(t)
+            next(t)
+            values = [[float(next(t)) for _ in range(width)] for _ in range(n)]
+            out[where][name] = [v[0] for v in values]
+        elif w == "FIELD":
+            next(t)
+            for _ in range(int(next(t))):
+                name, width, count = next(t), int(next(t)), int(next(t))
+                next(t)
+                values = [[float(next(t)) for _ in range(width)] for _ in range(count)]
+                out[where][name] = [v[0] for v in values]
+        elif w in ("VECTORS", "NORMALS"):
+            name = next(t)
+            next(t)
+            values = [[float(next(t)) for _ in range(3)] for _ in range(n)]
+            out[where] |= {f"{name}_{c}": [v[k] for v in values] for k, c in enumerate("xyz")}
+    if kind == "STRUCTURED_POINTS":
+        axes = {c: [o + s * k for k in range(m)] for c, o, s, m in zip("XYZ", origin, spacing, dims)}
+    if axes:
+        out["points"] = [(x, y, z) for z in axes["Z"] for y in axes["Y"] for x in axes["X"]]
+    if conns and not out["cells"]:
+        out["cells"] = [({1: 1, 2: 3, 3: 5, 4: 9}.get(len(c), 7), c) for c in conns]
+    return out
+
+
+def _points(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for b in batches:
+        for path, content in zip(b["path"], b["content"]):
+            found = parse(content)
+            for name, values in (found["point_fields"] or {None: [None] * len(found["points"])}).items():
+                frame = pd.DataFrame(found["points"], columns=["x", "y", "z"])
+                yield frame.assign(file=path, id=range(len(frame)), field=name, value=values)[["file", "id", "x", "y", "z", "field", "value"]]
+
+
+def _cells(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for b in batches:
+        for path, content in zip(b["path"], b["content"]):
+            cells = parse(content)["cells"]
+            yield pd.DataFrame({"file": [path] * len(cells), "cell": range(len(cells)), "shape": [s for s, _ in cells], "conn": [c for _, c in cells]})
+
+
+def read_points(spark: SparkSession, path: str) -> DataFrame:
+    """A row for each file, point and point field (field null if a file has none). Files are the unit of work."""
+    return spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(_points, POINTS)
+
+
+def read_cells(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(_cells, CELLS)
+
+
+def write_unstructured(points: DataFrame, cells: DataFrame, path: str, fields: Sequence[str] = ()) -> None:
+    """One legacy file, for meshes that a viewer can open: rows are streamed through the driver, partition by partition."""
+    with Path(path).open("w") as out:
+        n, m = points.count(), cells.count()
+        out.write(f"# vtk DataFile Version 3.0\nmesh\nASCII\nDATASET UNSTRUCTURED_GRID\nPOINTS {n} double\n")
+        for r in points.orderBy("id").select("x", "y", "z").toLocalIterator():
+            out.write(f"{r.x!r} {r.y!r} {r.z!r}\n")
+        size = cells.agg(F.coalesce(F.sum(F.size("conn") + 1), F.lit(0)).alias("s")).first().s
+        out.write(f"CELLS {m} {size}\n")
+        for r in cells.orderBy("cell").select("conn").toLocalIterator():
+            out.write(" ".join(map(str, [len(r.conn), *r.conn])) + "\n")
+        out.write(f"CELL_TYPES {m}\n")
+        for r in cells.orderBy("cell").select("shape").toLocalIterator():
+            out.write(f"{r.shape}\n")
+        if fields:
+            out.write(f"POINT_DATA {n}\n")
+        for f in fields:
+            out.write(f"SCALARS {f} double 1\nLOOKUP_TABLE default\n")
+            for r in points.orderBy("id").select(f).toLocalIterator():
+                out.write(f"{float(r[0])!r}\n")
