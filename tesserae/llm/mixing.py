@@ -137,4 +137,22 @@ def label_weights(spark, sf_dir) -> DataFrame:
 
 def query(spark, sf_dir):
     plan = mixed(documents(spark, sf_dir), qualities=label_weights(spark, sf_dir))
-    return plan.select("doc_id", "size", "source_size", "target", "taken", "source", "copies")
+    return plan.select("doc_id", "size", "source_size", F.round("target", 6).alias("target"), "taken", "source", "copies")
+
+
+#: The query's rows: one window over each source takes the place of slices.
+SQL = r"""WITH q AS (SELECT doc_id, max(CASE WHEN quality > 0 THEN 2.0 ELSE 0.5 END) AS weight FROM labels WHERE quality IS NOT NULL GROUP BY 1),
+  d AS (SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size,
+    -ln((CAST(CAST('0x' || substr(md5('17|' || coalesce(CAST(doc_id AS VARCHAR), '\N') || '|' || md5(coalesce(text, ''))), 1, 13) AS BIGINT) AS DOUBLE) + 0.5) / 4503599627370496) / coalesce(weight, 1.0) AS key
+    FROM documents LEFT JOIN q USING (doc_id)),
+  s AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size, row_number() OVER (ORDER BY source NULLS LAST) - 1 AS k FROM d GROUP BY 1),
+  c AS (SELECT *, 2.0 * source_size AS cap, [3.0, 1.0, 2.0][k % 3 + 1] AS w FROM s),
+  o AS (SELECT *, coalesce(sum(cap) OVER up, 0) AS capped, coalesce(sum(w) OVER up, 0) AS w_before, sum(w) OVER () AS w_all, 1.5 * sum(source_size) OVER () AS whole FROM c
+    WINDOW up AS (ORDER BY cap / w, source ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+  v AS (SELECT (SELECT level FROM (SELECT (whole - capped) / (w_all - w_before) AS level, cap / w AS ratio, source FROM o) WHERE level <= ratio ORDER BY ratio, source LIMIT 1) AS level),
+  t AS (SELECT source, source_size, CAST(least(cap, coalesce(level, 'inf'::DOUBLE) * w) AS DOUBLE) AS target FROM o, v),
+  e AS (SELECT *, CASE WHEN source_size > 0 THEN CAST(floor(target / source_size) AS BIGINT) ELSE 0 END AS epochs FROM t),
+  p AS (SELECT d.*, source_size, target, epochs, target - epochs * source_size AS rest, sum(size) OVER (PARTITION BY d.source ORDER BY key, doc_id ROWS UNBOUNDED PRECEDING) - size AS ahead
+    FROM d JOIN e ON d.source IS NOT DISTINCT FROM e.source)
+  SELECT doc_id, size, source_size, round(target, 6) AS target, size * copies AS taken, source, copies FROM
+    (SELECT *, epochs + CASE WHEN rest > 0 AND size > 0 AND ahead + size / 2.0 <= rest THEN 1 ELSE 0 END AS copies FROM p)"""

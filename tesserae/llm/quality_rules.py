@@ -179,3 +179,21 @@ def quality_filter(docs: DataFrame, limits: Limits = Limits(), id_col: str = "do
 
 def query(spark, sf_dir):
     return quality_counts(documents(spark, sf_dir))
+
+
+#: The query's rows, with the default limits; lines are compared as texts rather than by hash.
+SQL = r"""WITH d AS (SELECT row_number() OVER () AS r, doc_id, text, coalesce(text, '') AS t, source FROM documents),
+  w AS (SELECT r, regexp_extract_all(t, '[^\x20\x09-\x0D]+') AS ws FROM d),
+  z AS (SELECT r, unnest(list_zip(ws[1:-3], ws[2:-2], ws[3:], range(1, len(ws) - 1))) AS q FROM w WHERE len(ws) >= 3),
+  t AS (SELECT r, q[4] AS i, count(*) OVER (PARTITION BY r, q[1], q[2], q[3]) AS n FROM z),
+  rep AS (SELECT r, count(DISTINCT k) AS n FROM (SELECT r, unnest([i, i + 1, i + 2]) AS k FROM t WHERE n > 1) GROUP BY 1),
+  l AS (SELECT r, source, text, unnest(string_split(t, chr(10))) AS line FROM d),
+  lw AS (SELECT *, len(regexp_extract_all(line, '[^\x20\x09-\x0D]+')) AS n, lower(regexp_replace(trim(line, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), '[\x20\x09-\x0D]+', ' ', 'g')) AS h FROM l),
+  f AS (SELECT source, h FROM lw JOIN (SELECT source, count(DISTINCT text) AS docs FROM d GROUP BY 1) s USING (source) WHERE n > 0 GROUP BY source, h, docs HAVING count(DISTINCT text) > 20 AND count(DISTINCT text) > 0.01 * docs),
+  dup AS (SELECT r, count(*) - count(DISTINCT line) AS n FROM lw WHERE n > 0 GROUP BY 1),
+  gone AS (SELECT r, sum(n) AS n FROM lw SEMI JOIN f USING (source, h) WHERE n > 0 GROUP BY 1),
+  b AS (SELECT doc_id, len(ws) AS n_words, length(regexp_replace(t, '[\x20\x09-\x0D]', '', 'g')) AS word_chars, length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')) AS n_symbols,
+    CAST(coalesce(dup.n, 0) AS BIGINT) AS n_dup_lines, CAST(coalesce(rep.n, 0) AS BIGINT) AS n_repeat_words, CAST(len(ws) - coalesce(gone.n, 0) AS BIGINT) AS n_left_words
+    FROM d JOIN w USING (r) LEFT JOIN rep USING (r) LEFT JOIN dup USING (r) LEFT JOIN gone USING (r))
+  SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed,
+    NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AND n_left_words >= 25 AND n_left_words >= 0.3 * n_words AS kept, n_left_words FROM b"""

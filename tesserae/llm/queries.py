@@ -32,4 +32,4 @@ def queries():
 
 
 def oracle_sql():
-    return {"op1_chat_format": chat_format.SQL}
+    return {"op1_chat_format": chat_format.SQL, "op5_mixing": mixing.SQL, "op9_quality_rules": quality_rules.SQL}
