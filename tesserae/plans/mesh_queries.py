@@ -202,6 +202,11 @@ def relative_size_squared(spark, d):
     return rounded(mesh.relative_size_squared(triangles(spark), sheet_points(spark)), 5)
 
 
+@R.add("quality_triangle_shape_and_size", f"{SHEET}, r AS (SELECT cell, area / avg(area) OVER () AS r, {TRIANGLE_SQL['shape']} AS shape FROM m) SELECT cell, round(shape * pow(least(r, 1 / r), 2), 5) AS quality FROM r")
+def quality_triangle_shape_and_size(spark, d):
+    return rounded(mesh.shape_and_size(triangles(spark), sheet_points(spark)), 5)
+
+
 @R.add("quality_quad_diagonal_ratio", f"""{SHEET}, d AS (SELECT q, sqrt(pow(c.x-a.x,2)+pow(c.y-a.y,2)+pow(c.z-a.z,2)) AS u, sqrt(pow(e.x-b.x,2)+pow(e.y-b.y,2)+pow(e.z-b.z,2)) AS w FROM k JOIN v a ON a.id = k.a JOIN v b ON b.id = k.a + 1 JOIN v c ON c.id = k.a + {NX + 1} JOIN v e ON e.id = k.a + {NX})
   SELECT q AS cell, round(least(u, w) / greatest(u, w), 5) AS quality FROM d""")
 def quality_quad_diagonal_ratio(spark, d):
@@ -289,9 +294,9 @@ def tetrahedralize_count(spark, d):
     return mesh.tetrahedralize(bricks(spark)).groupBy("cell").agg(F.count("*").alias("tetras"))
 
 
-for _metric in ("volume", "aspect_gamma", "aspect_ratio"):
+for _metric in ("volume", "aspect_gamma", "aspect_ratio", "jacobian", "scaled_jacobian", "condition", "shape"):
     _quality_rows_only("tetra", _metric)
-for _metric in ("diagonal_ratio", "stretch", "skew", "max_diagonal", "min_diagonal"):
+for _metric in ("volume", "diagonal_ratio", "stretch", "skew", "max_diagonal", "min_diagonal", "jacobian", "scaled_jacobian", "shear", "shape", "condition", "oddy", "taper"):
     _quality_rows_only("hexahedron", _metric)
 
 

@@ -72,8 +72,12 @@ def test_unit_shapes(spark):
     for metric, want in ideal.items():
         assert math.isclose(mesh.quality(cells.where("cell = 1"), points, metric).first().quality, want, abs_tol=1e-9), metric
     assert mesh.quality(cells.where("cell = 0"), points, "oddy").first().quality == -1
-    for metric, want in {"diagonal_ratio": 1, "stretch": 1, "skew": 0, "max_diagonal": math.sqrt(3)}.items():
+    for metric, want in {"volume": 1, "diagonal_ratio": 1, "stretch": 1, "skew": 0, "max_diagonal": math.sqrt(3), "jacobian": 1, "scaled_jacobian": 1, "shear": 1, "shape": 1, "condition": 1, "oddy": 0, "taper": 0}.items():
         assert math.isclose(mesh.quality(cells.where("cell = 0"), points, metric).first().quality, want, abs_tol=1e-9), metric
+    regular = spark.createDataFrame([(0, 1.0, 1.0, 1.0), (1, 1.0, -1.0, -1.0), (2, -1.0, 1.0, -1.0), (3, -1.0, -1.0, 1.0)], "id long, x double, y double, z double")
+    one = spark.createDataFrame([(0, "tetra", [0, 2, 1, 3])], "cell long, shape string, conn array<long>")
+    for metric, want in {"scaled_jacobian": 1, "condition": 1, "shape": 1, "aspect_ratio": 1, "aspect_gamma": 1, "volume": 8 / 3, "jacobian": 16}.items():
+        assert math.isclose(abs(mesh.quality(one, regular, metric).first().quality), want, rel_tol=1e-5), metric
     assert mesh.external_faces(cells.where("cell = 0")).count() == 6 and mesh.tetrahedralize(cells.where("cell = 0")).count() == 5
 
 
