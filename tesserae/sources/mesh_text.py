@@ -1,4 +1,4 @@
-"""Legacy VTK text files (ASCII): structured points and unstructured grids, read in parallel by file and written whole."""
+"""Legacy mesh text files (ASCII): structured points and unstructured grids, read in parallel by file and written whole."""
 
 from __future__ import annotations
 

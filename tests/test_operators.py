@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tesserae.operators import density, extraction, flow, graph, mesh, primitives, statistics
-from tesserae.sources import fields, images, vtk
+from tesserae.sources import fields, images, mesh_text
 
 
 def test_statistics_of_a_range(spark):
@@ -96,15 +96,15 @@ def test_mesh_file_round_trip(spark, tmp_path):
     points = fields.uniform_grid(spark, (3, 3)).select("id", "x", "y", "z", (F.col("id") * 1.5).alias("f"))
     cells = spark.createDataFrame([(0, 9, [0, 1, 4, 3]), (1, 5, [1, 2, 5])], "cell long, shape int, conn array<long>")
     path = str(tmp_path / "mesh.vtk")
-    vtk.write_unstructured(points, cells, path, ["f"])
-    back = vtk.read_points(spark, path)
+    mesh_text.write_unstructured(points, cells, path, ["f"])
+    back = mesh_text.read_points(spark, path)
     assert sorted((r.id, r.x, r.y, r.z, r.field, r.value) for r in back.collect()) == sorted((r.id, r.x, r.y, r.z, "f", r.f) for r in points.collect())
-    assert sorted((r.cell, r.shape, r.conn) for r in vtk.read_cells(spark, path).collect()) == [(0, 9, [0, 1, 4, 3]), (1, 5, [1, 2, 5])]
+    assert sorted((r.cell, r.shape, r.conn) for r in mesh_text.read_cells(spark, path).collect()) == [(0, 9, [0, 1, 4, 3]), (1, 5, [1, 2, 5])]
 
 
 def test_structured_points_file(spark, tmp_path):
     (tmp_path / "g.vtk").write_text("# vtk DataFile Version 3.0\nt\nASCII\nDATASET STRUCTURED_POINTS\nDIMENSIONS 2 2 1\nORIGIN 1 2 3\nSPACING 0.5 1 1\nPOINT_DATA 4\nSCALARS a float\nLOOKUP_TABLE default\n1 2 3 4\nVECTORS v float\n1 0 0 0 1 0 0 0 1 1 1 1\n")
-    rows = vtk.read_points(spark, str(tmp_path / "g.vtk")).collect()
+    rows = mesh_text.read_points(spark, str(tmp_path / "g.vtk")).collect()
     assert {(r.id, r.x, r.value) for r in rows if r.field == "a"} == {(0, 1.0, 1.0), (1, 1.5, 2.0), (2, 1.0, 3.0), (3, 1.5, 4.0)}
     assert {r.field for r in rows} == {"a", "v_x", "v_y", "v_z"}
 
