@@ -76,10 +76,8 @@ def token_counts(
     n_missing = missing.count()
     if n_missing:
         wanted = keyed.select("digest", "_text")
-        if n_missing <= BROADCAST_DIGESTS:
-            wanted = wanted.join(F.broadcast(missing), "digest", "left_semi")
-        elif n_missing < distinct.count():
-            wanted = wanted.join(missing, "digest", "left_semi")
+        if n_missing < distinct.count():
+            wanted = wanted.join(F.broadcast(missing) if n_missing <= BROADCAST_DIGESTS else missing, "digest", "left_semi")
         once = wanted.groupBy("digest").agg(F.any_value("_text").alias("_text"))  # copies are merged before the shuffle too
         counted = map_arrow(once, encode_counts(tokenizer), "digest binary, n_tokens long")
         counted.withColumn("tokenizer", F.lit(version)).write.mode("append").parquet(cache)
