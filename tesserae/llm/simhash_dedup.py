@@ -276,7 +276,11 @@ def near_duplicates(docs: DataFrame, limit: int = 4, shingle: int = 4, id_col: s
 
 def near_dedup(docs: DataFrame, limit: int = 4, shingle: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The input's rows, one of each component: the least doc_id, then the least text digest, nulls last; of equal rows, any one."""
-    found = near_duplicates(docs, limit, shingle, id_col, text_col)
+    return first_of_each(docs, near_duplicates(docs, limit, shingle, id_col, text_col), id_col, text_col)
+
+
+def first_of_each(docs: DataFrame, found: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """The rows that near_dedup keeps. found: doc_id, text_key, class."""
     chosen = found.groupBy("class").agg(
         F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_key")).alias("first"),
     )

@@ -7,7 +7,8 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from tesserae.llm import embedding_dedup, simhash_dedup
+import corpus_pipeline
+from tesserae.llm import embedding_dedup, shingle_dedup, simhash_dedup
 from tesserae.llm.components import connected_components
 from tesserae.llm.gray_index import GrayIndex, gray_rank
 
@@ -206,3 +207,53 @@ def test_recall_over_cells(spark):
     loose = np.flatnonzero((want > 0) & (want < 50))
     assert n[loose].sum() >= 0.9 * want[loose].sum()
     assert F is not None
+
+
+def word_shingles(text, size=5):
+    words = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
+    return {tuple(words[i : i + size]) for i in range(max(1, len(words) - size + 1))} if words else set()
+
+
+def alike(a, b):
+    return len(a & b) >= 0.8 * len(a | b)
+
+
+@pytest.mark.parametrize("table", ["odd", "docs"])
+def test_shingle_groups(table, request):
+    df = request.getfixturevalue(table)
+    rows = [(r.doc_id, r.text) for r in df.select("doc_id", "text").collect()]
+    texts = sorted({t or "" for _, t in rows})
+    sets = {t: word_shingles(t) for t in texts}
+    want = parts([(a, b) for k, a in enumerate(texts) for b in texts[k + 1 :] if alike(sets[a], sets[b])], texts)
+    kept = shingle_dedup.near_dedup(df)
+    assert kept.columns == df.columns
+    assert sorted(want[r.text or ""] for r in kept.select("text").collect()) == sorted(set(want.values()))
+
+
+def test_pipeline_drops_near_copies(spark, sf_dir):
+    """Copies at a similarity of 0.8 to 0.9, whose SimHash codes differ in more than four bits, go; less similar texts stay."""
+    rng = random.Random(4)
+    docs, n_far = [], 0
+    for k in range(30):
+        words = [f"w{rng.randrange(5000)}" for _ in range(200)]
+        near, less = words[:], words[:]
+        for i in (20, 80, 140)[: 1 + k % 3]:
+            near[i] = "changed"
+        for i in range(5, 195, 25):
+            less[i] = "other"
+        docs += [(3 * k, " ".join(words)), (3 * k + 1, " ".join(near)), (3 * k + 2, " ".join(less))]
+        assert alike(word_shingles(docs[-3][1]), word_shingles(docs[-2][1])) and not alike(word_shingles(docs[-3][1]), word_shingles(docs[-1][1]))
+        n_far += (slow_fingerprint(docs[-3][1]) ^ slow_fingerprint(docs[-2][1])).bit_count() > 4
+    assert n_far > 3
+    got = corpus_pipeline.near_duplicates(spark, spark.createDataFrame(docs, "doc_id long, text string"), sf_dir)
+    assert {r.doc_id for r in got.collect()} == {d for d, _ in docs if d % 3 != 1}
+
+
+def test_large_group_and_its_fringe(spark):
+    """Chains: a group's members that aren't like the least one are found through others."""
+    words = [f"w{i}" for i in range(300)]
+    docs = [(k, " ".join(words[3 * k : 3 * k + 150])) for k in range(40)] + [(100, "w0 w1")]
+    docs = docs + [(200 + k, t.upper()) for k, t in docs]
+    kept = shingle_dedup.near_dedup(spark.createDataFrame(docs, "doc_id long, text string"))
+    assert {r.doc_id for r in kept.collect()} == {0, 100}
+    assert shingle_dedup.near_dedup(spark.createDataFrame(docs, "doc_id long, text string").limit(0)).count() == 0
