@@ -3,7 +3,12 @@
 A message whose text is a JSON object may hold `tool_calls`, an array of
 {id, name, arguments, depends_on}; a message of role `tool` names the call it
 answers in `tool_call_id`. Calls and results are joined on (conversation, id).
-Arguments are validated against the tools' schemas. Messages are ordered
+Arguments are validated against the tools' schemas: given ones, or those that the
+conversation defines. A message whose text is a JSON object may hold `tools`, an
+array of {name, parameters} or {function: {name, parameters}}, with parameters a JSON
+schema of which type, enum, required and additionalProperties are checked, at the top
+level; the first definition of a name counts. A conversation with definitions allows no
+other tool; without any, arguments must be a JSON object still. Messages are ordered
 topologically: a message comes after the calls that it answers or depends on, and
 otherwise by turn. Each message becomes one line of canonical JSON: keys sorted,
 no blanks between tokens, absent values left out.
@@ -30,7 +35,10 @@ from tesserae.llm.common import checkpointed
 #: tool: parameter: (JSON type, required)
 Schemas = dict[str, dict[str, tuple[str, bool]]]
 
-CALLS = "tool_calls array<struct<id: string, name: string, arguments: string, depends_on: array<string>>>, tool_call_id string, content string"
+CALLS = (
+    "tool_calls array<struct<id: string, name: string, arguments: string, depends_on: array<string>>>, tool_call_id string, content string, "
+    "tools array<struct<name: string, parameters: string, function: struct<name: string, parameters: string>>>"
+)
 #: What schema_of_variant says of a JSON type.
 TYPES = {
     "integer": "^(BIGINT|DECIMAL[(][0-9]+,0[)])$",
@@ -65,6 +73,41 @@ def argument_errors(name: Column, arguments: Column, schemas: Schemas) -> Column
     return found
 
 
+def _is_object(value: Column) -> Column:
+    return F.coalesce(F.schema_of_variant(value).rlike("^OBJECT<"), F.lit(False))
+
+
+def defined_tools(rows: DataFrame) -> DataFrame:
+    """no_conv, conv, name, parameters (JSON) of the tools that conversations define."""
+    each = rows.where("body.tools IS NOT NULL").select("no_conv", "conv", "turn", "row_no", F.posexplode("body.tools").alias("at", "t"))
+    each = each.select("no_conv", "conv", F.coalesce("t.name", "t.function.name").alias("name"), F.struct("turn", "row_no", "at").alias("place"), F.coalesce("t.parameters", "t.function.parameters").alias("p"))
+    return each.where("name IS NOT NULL").groupBy("no_conv", "conv", "name").agg(F.min_by("p", "place").alias("parameters"))
+
+
+def defined_errors(arguments: Column, parameters: Column) -> Column:
+    """What is wrong with a call's arguments by a tool's own JSON schema."""
+    text = F.coalesce(arguments, F.lit("{}"))
+    value = F.try_parse_json(text)
+    given = F.try_variant_get(value, "$", "map<string,variant>")
+    plain = F.from_json(text, "map<string,string>")
+    keys = F.coalesce(F.map_keys(given), F.array().cast("array<string>"))
+    schema = F.from_json(parameters, "properties map<string,struct<type: string, enum: array<string>>>, required array<string>, additionalProperties string")
+    known = F.coalesce(F.map_keys(schema["properties"]), F.array().cast("array<string>"))
+    patterns = F.create_map(*(F.lit(x) for pair in [*TYPES.items(), ("null", "^VOID$")] for x in pair))
+
+    def wrong(p: Column) -> Column:
+        kind, allowed = schema["properties"][p]["type"], schema["properties"][p]["enum"]
+        kinds = F.when(kind.startswith("["), F.from_json(kind, "array<string>")).otherwise(F.array(kind))
+        found = F.schema_of_variant(given[p])
+        fits = F.exists(kinds, lambda k: F.coalesce(F.rlike(found, patterns[k]), F.lit(True)))  # a type we don't know allows anything
+        return F.when(~fits, F.concat(p, F.lit(" is no "), F.array_join(kinds, " or "))).when(~F.array_contains(allowed, plain[p]), F.concat(p, F.lit(" is none of its values")))
+
+    none = F.array().cast("array<string>")
+    missing = F.transform(F.coalesce(F.array_except(schema["required"], keys), none), lambda p: F.concat(F.lit("missing "), p))
+    extra = F.transform(F.when(schema["additionalProperties"] == "false", F.array_except(keys, known)).otherwise(none), lambda p: F.concat(F.lit("unknown "), p))
+    return F.when(_is_object(value), F.concat(missing, extra, F.array_compact(F.transform(F.array_intersect(known, keys), wrong)))).otherwise(F.array(F.lit("arguments are no object")))
+
+
 def parsed(messages: DataFrame, conv_col: str, turn_col: str, role_col: str, text_col: str) -> DataFrame:
     text = F.col(text_col)
     body = F.when(F.ltrim(text).startswith("{") & F.try_parse_json(text).isNotNull(), F.from_json(text, CALLS))
@@ -96,7 +139,7 @@ def format_chats(
 ) -> DataFrame:
     """conv_id, turn, role, anchor, level, n_calls, n_errors, linked, json of every message.
 
-    schemas: None accepts any tool and arguments. linked: of a tool's result, whether its call was found.
+    schemas: None takes those that each conversation defines. linked: of a tool's result, whether its call was found.
     """
     rows = _site(parsed(messages, conv_col, turn_col, role_col, text_col)).withColumn("row_no", F.monotonically_increasing_id())
     plain_only = rows.where("body.tool_calls IS NOT NULL OR role = 'tool'").isEmpty()
@@ -106,7 +149,13 @@ def format_chats(
     calls = rows.select("no_conv", "conv", "row_no", "turn", F.posexplode("body.tool_calls").alias("at", "call"))
     calls = calls.select("no_conv", "conv", "row_no", "turn", "at", F.coalesce("call.id", F.lit("")).alias("id"), "call.name", "call.arguments", "call.depends_on")
     first = calls.groupBy(*KEY).agg(F.min_by("row_no", F.struct("turn", "name", "arguments", "row_no")).alias("owner"), F.count("*").alias("n"))
-    wrong = argument_errors(F.col("name"), F.col("arguments"), schemas) if schemas is not None else F.array().cast("array<string>")
+    if schemas is not None:
+        wrong = argument_errors(F.col("name"), F.col("arguments"), schemas)
+    else:
+        tools = defined_tools(rows)
+        calls = calls.join(tools.withColumn("known", F.lit(True)), ["no_conv", "conv", "name"], "left")
+        calls = calls.join(tools.select("no_conv", "conv").distinct().withColumn("strict", F.lit(True)), ["no_conv", "conv"], "left")
+        wrong = F.when(F.col("strict") & F.col("known").isNull(), F.array(F.lit("unknown tool"))).otherwise(defined_errors(F.col("arguments"), F.col("parameters")))
     twice = F.when((F.col("n") > 1) & (F.col("owner") != F.col("row_no")), F.array(F.concat(F.lit("repeated id "), F.col("id")))).otherwise(F.array().cast("array<string>"))
     needs = calls.select("no_conv", "conv", "row_no", F.explode("depends_on").alias("id"))
     answers = rows.where("role = 'tool'").select("no_conv", "conv", "row_no", F.coalesce("body.tool_call_id", F.lit("")).alias("id"))

@@ -74,3 +74,23 @@ def test_plain_table_equals_sql(spark, sf_dir):
 
 def test_no_messages(chats):
     assert chat_format.format_chats(chats.limit(0), SCHEMAS).count() == 0
+
+
+def test_conversations_own_schemas(spark):
+    """What the registered query reports: it is given no schemas."""
+    weather = {"type": "object", "properties": {"city": {"type": "string", "enum": ["Oslo", "Bergen"]}, "days": {"type": ["integer", "null"]}}, "required": ["city"], "additionalProperties": False}
+    tools = json.dumps({"tools": [{"type": "function", "function": {"name": "weather", "parameters": weather}}, {"name": "now", "parameters": {}}, {"name": "weather", "parameters": {}}]})
+    rows = [
+        (1, 0, "system", tools),
+        (1, 1, "assistant", ask(call("a", "weather", {"city": "Oslo", "days": None}), call("b", "now", {"any": 1}), call("c", "now", None))),
+        (1, 2, "assistant", ask(call("d", "weather", {"days": "two", "more": 1}))),
+        (1, 3, "assistant", ask(call("e", "weather", {"city": "Rome"}), call("f", "nothing", {}))),
+        (1, 4, "assistant", ask(call("g", "weather", {"city": 5}))),
+        (2, 0, "assistant", ask(call("a", "weather", '{"city": '), call("b", "weather", [1]), call("c", "weather", {"city": 5}), call("d", "weather", '{"city": "Oslo"}'))),
+    ]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    got = {(r.conv_id, r.turn): json.loads(r.json).get("errors", []) for r in chat_format.format_chats(df).collect()}
+    assert got == {
+        (1, 0): [], (1, 1): [], (1, 2): ["days is no integer or null", "missing city", "unknown more"], (1, 3): ["city is none of its values", "unknown tool"],
+        (1, 4): ["city is no string"], (2, 0): ["arguments are no object", "arguments are no object"],
+    }
