@@ -11,7 +11,9 @@ level; the first definition of a name counts. A conversation with definitions al
 other tool; without any, arguments must be a JSON object still. Messages are ordered
 topologically: a message comes after the calls that it answers or depends on, and
 otherwise by turn. Each message becomes one line of canonical JSON: keys sorted,
-no blanks between tokens, absent values left out.
+no blanks between tokens, absent values left out. Keys of a message or call that have
+no place of their own are its `extra`, as canonical JSON; those of a message without
+content are its content.
 
 Results are rows of messages, ordered by columns (conv_id, anchor, level, turn),
 so that a conversation of any length is never gathered in one place.
@@ -206,16 +208,40 @@ def _order(turns: DataFrame, refs: DataFrame, max_rounds: int) -> DataFrame:
     return reduce(DataFrame.unionByName, [*result, rest])
 
 
+def _rest(members: Column, carried: Column) -> Column:
+    """Canonical JSON of an object (a map of variants) less some keys; null if nothing is left."""
+    left = F.map_filter(members, lambda k, _: ~F.array_contains(carried, k))
+    return F.when(F.size(left) > 0, F.to_json(F.to_variant_object(left)))
+
+
+def _keys(always: list[str], **if_read: Column) -> Column:
+    """Names of keys that are written elsewhere; those of if_read only if their values could be read."""
+    return F.array_compact(F.array(*map(F.lit, always), *(F.when(read, F.lit(k)) for k, read in if_read.items())))
+
+
 def _lines(rows: DataFrame) -> DataFrame:
+    # Only lines with a body are parsed again.
+    whole = F.try_parse_json(F.when(F.col("body").isNotNull(), F.col("text")))
+    members = F.try_variant_get(whole, "$", "map<string,variant>")
+    as_given = F.try_variant_get(whole, "$.tool_calls", "array<map<string,variant>>")
     calls = F.transform(
         "body.tool_calls",
-        lambda c: F.struct(F.coalesce(canonical(c["arguments"]), c["arguments"]).alias("arguments"), c["depends_on"].alias("depends_on"), c["id"].alias("id"), c["name"].alias("name")),
+        lambda c, i: F.struct(
+            F.coalesce(canonical(c["arguments"]), c["arguments"]).alias("arguments"),
+            c["depends_on"].alias("depends_on"),
+            _rest(F.get(as_given, i), _keys(["arguments", "id", "name"], depends_on=c["depends_on"].isNotNull())).alias("extra"),
+            c["id"].alias("id"),
+            c["name"].alias("name"),
+        ),
     )
+    rest = _rest(members, _keys(["content"], tool_call_id=F.col("body.tool_call_id").isNotNull(), tool_calls=F.col("body.tool_calls").isNotNull() & as_given.isNotNull()))
+    has_content = F.coalesce(F.array_contains(F.map_keys(members), "content"), F.lit(False))
     special = F.col("body.tool_calls").isNotNull() | F.coalesce(F.col("role") == "tool", F.lit(False)) & F.col("body").isNotNull()
     line = F.struct(
-        F.when(special, F.col("body.content")).otherwise(F.col("text")).alias("content"),
+        F.when(~special, F.col("text")).when(has_content, F.col("body.content")).otherwise(rest).alias("content"),
         F.col("conv_id"),
         F.when(F.size("errors") > 0, F.col("errors")).alias("errors"),
+        F.when(special & has_content, rest).alias("extra"),
         F.col("role"),
         F.when(special, F.col("body.tool_call_id")).alias("tool_call_id"),
         calls.alias("tool_calls"),

@@ -94,3 +94,30 @@ def test_conversations_own_schemas(spark):
         (1, 0): [], (1, 1): [], (1, 2): ["days is no integer or null", "missing city", "unknown more"], (1, 3): ["city is none of its values", "unknown tool"],
         (1, 4): ["city is no string"], (2, 0): ["arguments are no object", "arguments are no object"],
     }
+
+
+def test_nothing_of_a_text_is_lost(spark):
+    more = {**call("c1", "weather", {"city": "Oslo"}), "type": "function", "cache": {"b": 1, "a": 2}}
+    rows = [
+        (0, "assistant", json.dumps({"content": "so", "tool_calls": [more, call("c2", "add", {})], "reasoning": "why"})),
+        (1, "assistant", json.dumps({"tool_calls": [call("c3", "add", {})], "reasoning": "why"})),
+        (2, "tool", '{"temperature": 21}'),
+        (3, "tool", '{"tool_call_id": "c1", "result": {"z": [1, 2.5], "a": null}}'),
+        (4, "tool", '{"tool_call_id": "c2", "content": "x", "status": "ok"}'),
+        (5, "tool", '{"tool_call_id": "c3", "content": null}'),
+        (6, "tool", '{"tool_call_id": "c3", "tool_calls": 5}'),
+        (7, "tool", '{"tool_call_id": "c3", "content": {"b": 1}}'),
+        (8, "tool", "{}"),
+    ]
+    df = spark.createDataFrame([(1, *r) for r in rows], "conv_id long, turn long, role string, text string")
+    lines = {r.turn: r.json for r in chat_format.format_chats(df).collect()}
+    got = {k: json.loads(v) for k, v in lines.items()}
+    assert all(json.dumps(got[k], sort_keys=True, separators=(",", ":"), ensure_ascii=False) == v for k, v in lines.items())
+    assert got[0]["content"] == "so" and got[0]["extra"] == '{"reasoning":"why"}'
+    assert got[0]["tool_calls"][0]["extra"] == '{"cache":{"a":2,"b":1},"type":"function"}' and "extra" not in got[0]["tool_calls"][1]
+    assert got[1]["content"] == '{"reasoning":"why"}' and "extra" not in got[1]
+    assert got[2]["content"] == '{"temperature":21}'
+    assert got[3]["content"] == '{"result":{"a":null,"z":[1,2.5]}}' and got[3]["tool_call_id"] == "c1"
+    assert got[4]["content"] == "x" and got[4]["extra"] == '{"status":"ok"}'
+    assert "content" not in got[5] and "extra" not in got[5] and got[6]["content"] == '{"tool_calls":5}'
+    assert json.loads(got[7]["content"]) == {"b": 1} and "content" not in got[8]
