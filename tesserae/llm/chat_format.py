@@ -28,6 +28,7 @@ table gives an empty result.
 from __future__ import annotations
 
 from functools import reduce
+from itertools import count
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -41,6 +42,8 @@ CALLS = (
     "tool_calls array<struct<id: string, name: string, arguments: string, depends_on: array<string>>>, tool_call_id string, content string, "
     "tools array<struct<name: string, parameters: string, function: struct<name: string, parameters: string>>>"
 )
+#: Rounds of placement that are kept apart at most.
+PARTS = 32
 #: What schema_of_variant says of a JSON type.
 TYPES = {
     "integer": "^(BIGINT|DECIMAL[(][0-9]+,0[)])$",
@@ -137,11 +140,12 @@ def format_chats(
     turn_col: str = "turn",
     role_col: str = "role",
     text_col: str = "text",
-    max_rounds: int = 1000,
+    max_rounds: int | None = None,
 ) -> DataFrame:
     """conv_id, turn, role, anchor, level, n_calls, n_errors, linked, json of every message.
 
     schemas: None takes those that each conversation defines. linked: of a tool's result, whether its call was found.
+    max_rounds: None goes on for as long as messages are placed; else more rounds than that are an error.
     """
     rows = _site(parsed(messages, conv_col, turn_col, role_col, text_col)).withColumn("row_no", F.monotonically_increasing_id())
     plain_only = rows.where("body.tool_calls IS NOT NULL OR role = 'tool'").isEmpty()
@@ -179,7 +183,7 @@ def format_chats(
     )
 
 
-def _order(turns: DataFrame, refs: DataFrame, max_rounds: int) -> DataFrame:
+def _order(turns: DataFrame, refs: DataFrame, max_rounds: int | None) -> DataFrame:
     """row_no, anchor, level, cyclic of the messages that refer to others.
 
     A message is placed once all it refers to are: its anchor is the latest of its turn and their anchors,
@@ -191,7 +195,7 @@ def _order(turns: DataFrame, refs: DataFrame, max_rounds: int) -> DataFrame:
     result = [placed]
     fresh = placed
     met = None
-    for _ in range(max_rounds):
+    for round_no in count():
         step = waiting.join(fresh.select(F.col("row_no").alias("owner"), "anchor", "level"), "owner")
         met = checkpointed(step if met is None else met.unionByName(step))
         left = waiting.groupBy("row_no").agg(F.count("*").alias("n"))
@@ -201,7 +205,11 @@ def _order(turns: DataFrame, refs: DataFrame, max_rounds: int) -> DataFrame:
         fresh = checkpointed(ready.select("row_no", F.when(later, F.col("turn")).otherwise(F.col("latest")).alias("anchor"), F.when(later, F.lit(0)).otherwise(F.col("top.level") + 1).alias("level"), F.lit(False).alias("cyclic")))
         if fresh.isEmpty():
             break
+        if max_rounds is not None and round_no >= max_rounds:
+            raise RuntimeError(f"messages not placed in {max_rounds} rounds")
         result.append(fresh)
+        if len(result) == PARTS:  # a long chain's plan must not grow with it
+            result = [checkpointed(reduce(DataFrame.unionByName, result))]
         waiting = checkpointed(waiting.join(fresh.select("row_no"), "row_no", "left_anti"))
         met = checkpointed(met.join(fresh.select("row_no"), "row_no", "left_anti"))
     rest = waiting.select("row_no").distinct().join(turns, "row_no").select("row_no", F.col("turn").alias("anchor"), F.lit(0).alias("level"), F.lit(True).alias("cyclic"))

@@ -121,3 +121,16 @@ def test_nothing_of_a_text_is_lost(spark):
     assert got[4]["content"] == "x" and got[4]["extra"] == '{"status":"ok"}'
     assert "content" not in got[5] and "extra" not in got[5] and got[6]["content"] == '{"tool_calls":5}'
     assert json.loads(got[7]["content"]) == {"b": 1} and "content" not in got[8]
+
+
+def test_long_chain_is_no_cycle(spark, monkeypatch):
+    """Each message depends on a call of the next; a bound that is reached raises, and is never called a cycle."""
+    monkeypatch.setattr(chat_format, "PARTS", 3)
+    n = 9
+    rows = [(1, k, "assistant", ask(call(f"c{k}", "add", {}, *([f"c{k + 1}"] if k < n - 1 else [])))) for k in range(n)]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    got = chat_format.format_chats(df).collect()
+    assert [r.turn for r in sorted(got, key=lambda r: (r.anchor, r.level, r.turn))] == list(range(n))[::-1] and not any(r.n_errors for r in got)
+    with pytest.raises(RuntimeError):
+        chat_format.format_chats(df, max_rounds=4).collect()
+    assert len(chat_format.format_chats(df, max_rounds=n).collect()) == n
