@@ -2,8 +2,8 @@
 
 Equal vectors are collapsed first, with their number. Centres are fitted on a
 bounded sample and every vector is assigned: it is a member of its nearest cell
-and a guest of the next nearest ones, less those whose members must all lie beyond
-the limit. Members of a cell are cut into blocks; each
+and a guest of the next nearest ones (more of them with more cells), less those whose
+members must all lie beyond the limit or find it themselves. Members of a cell are cut into blocks; each
 block is compared with the members and guests of its cell, block by block, in one
 matrix product, so that no cell has to fit one task. A pair that would be met in
 two cells is counted in one. Blocks emit counts of links and a spanning forest of
@@ -32,8 +32,8 @@ from tesserae.llm.gray_index import Forest
 
 #: Vectors that centres are fitted on at most, cells at most, and vectors to a block.
 SAMPLE, CELLS, BLOCK = 20_000, 2048, 1024
-#: Nearest cells that a vector is looked up in. Found of links at the limit itself, with 256 cells: 0.97; of those in the test tables: all.
-PROBES = 6
+#: Nearest cells that a vector is looked up in, with 256 cells or fewer, and how many more for each doubling of the cells.
+PROBES, MORE_PROBES = 8, 2
 ROUNDS = 8
 
 
@@ -55,6 +55,11 @@ def n_cells(n: int) -> int:
     return 1 if n < 2 * BLOCK else min(CELLS, 1 << round(math.log2(math.sqrt(n))))
 
 
+def n_probes(cells: int) -> int:
+    """Found of links at the limit itself: 0.97 or more from 256 to 2048 cells."""
+    return PROBES + round(MORE_PROBES * max(0.0, math.log2(cells / 256)))
+
+
 def unit_rows(vectors: pa.Array, width: int) -> np.ndarray:
     x = np.asarray(vectors.flatten().to_numpy(zero_copy_only=False), np.float64).reshape(-1, width)
     x = x / np.abs(x).max(axis=1, keepdims=True)  # no overflow or underflow of squares
@@ -64,8 +69,8 @@ def unit_rows(vectors: pa.Array, width: int) -> np.ndarray:
 ASSIGNED = "rep long, copies long, width int, cells array<int>, vector array<double>"
 
 
-def _assign(centres: dict[int, np.ndarray], probes: int, limit: float):
-    reach = math.sqrt(max(0.0, 1 - limit * limit)) if limit > 0 else math.inf
+def _assign(centres: dict[int, np.ndarray], probes: int | None, limit: float):
+    reach = math.sqrt(max(0.0, 2 - 2 * limit)) / 2
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -74,13 +79,14 @@ def _assign(centres: dict[int, np.ndarray], probes: int, limit: float):
                 whole = b.filter(pa.array(widths == w))
                 c = centres.get(int(w), np.zeros((1, w)))
                 apart = np.sqrt(np.maximum(0.0, 2 - 2 * (c @ c.T)))
-                k = min(probes, len(c))
+                k = min(probes or n_probes(len(c)), len(c))
                 for start in range(0, len(whole), BLOCK):
                     own = whole.slice(start, BLOCK)
                     scores = unit_rows(own.column(3), w) @ c.T
                     top = np.argpartition(-scores, k - 1, axis=1)[:, :k]
                     top = np.take_along_axis(top, np.argsort(-np.take_along_axis(scores, top, 1), axis=1, kind="stable"), 1)
-                    # A member of another cell lies beyond the plane between the centres; is that within reach?
+                    # A member of another cell lies beyond the plane between the centres. The distances of both from it are
+                    # no more than their own at most, so one of them is within half the reach and looks in the other's cell.
                     gap = np.take_along_axis(scores, top[:, :1], 1) - np.take_along_axis(scores, top, 1)
                     near = gap <= reach * apart[top[:, :1], top] + 1e-9
                     near[:, 0] = True
@@ -139,8 +145,8 @@ def _compare(limit: float):
     return run
 
 
-def near_duplicate_vectors(vectors: DataFrame, limit: float = 0.9, probes: int = PROBES, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
-    """vec_id, n_links, component_id, kept of every row."""
+def near_duplicate_vectors(vectors: DataFrame, limit: float = 0.9, probes: int | None = None, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
+    """vec_id, n_links, component_id, kept of every row. probes: None takes as many as the number of cells asks for."""
     v = F.col("v")
     good = F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists(v, lambda x: x != 0)
     rows = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).cast("array<double>").alias("v"))

@@ -3,6 +3,7 @@ import re
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -257,3 +258,24 @@ def test_large_group_and_its_fringe(spark):
     kept = shingle_dedup.near_dedup(spark.createDataFrame(docs, "doc_id long, text string"))
     assert {r.doc_id for r in kept.collect()} == {0, 100}
     assert shingle_dedup.near_dedup(spark.createDataFrame(docs, "doc_id long, text string").limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("cells", [256, 2048])
+def test_probes_find_links_at_the_limit(cells):
+    """Pairs at a cosine of 0.9, held out from the centres' sample: found if either is assigned to the other's nearest cell."""
+    rng = np.random.default_rng(5)
+    unit = lambda x: x / np.linalg.norm(x, axis=1, keepdims=True)
+    centres = embedding_dedup.spherical_kmeans(unit(rng.normal(size=(20_000, 64))), cells, 2)
+    x = unit(rng.normal(size=(2000, 64)))
+    t = rng.normal(size=x.shape)
+    y = 0.9 * x + np.sqrt(0.19) * unit(t - (t * x).sum(axis=1, keepdims=True) * x)
+
+    def assigned(v, probes=None):
+        columns = [pa.array(range(len(v))), pa.array([1] * len(v)), pa.array([64] * len(v)), pa.array(v.tolist())]
+        batch = pa.record_batch(columns, ["rep", "copies", "width", "vector"])
+        return [r["cells"] for b in embedding_dedup._assign({64: centres}, probes, 0.9 - 1e-9)(iter([batch])) for r in b.to_pylist()]
+
+    share = lambda a, b: np.mean([p[0] in q or q[0] in p for p, q in zip(a, b)])
+    assert share(assigned(x), assigned(y)) > 0.95
+    if cells == 256:
+        assert share(assigned(x, cells), assigned(y, cells)) == 1.0  # what half the reach rules out is found from the other side
