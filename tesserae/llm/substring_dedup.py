@@ -3,7 +3,9 @@
 A text is cut after sentence ends, clause marks and line breaks; the pieces keep
 their trailing blanks, so that together they are the text. Every run of `span`
 consecutive pieces is hashed (128 bits over the pieces' normalised forms), unless
-it is too short to mean anything. Runs are joined globally on their hash; the
+it is too short to mean anything. passage_dedup leaves no passage out for its shape: it
+cuts after closing quotes and several blanks too, a run that is too short goes on until
+it is long enough, and fewer pieces are a run if they hold many words. Runs are joined globally on their hash; the
 first of equal runs (by doc_id, text digest, position) stays, and pieces that any
 other one covers are removed.
 
@@ -18,76 +20,109 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tesserae.llm.common import BLANKS, documents, text_key, with_row
+from tesserae.llm.common import BLANKS, WORD, documents, text_key, with_row
 
 #: Before a non-blank after a blank, if a sentence end, a clause mark or a line break precedes that.
 CUT = r"(?<=[ \n])(?<=[.!?…,;:\n] |\n)(?=[^ \n])"
+#: The same, but closing quotes and brackets may follow the mark, and any blanks.
+WIDE_CUT = r"(?<=[ \t\n])(?=[^ \t\n])(?<=\n[ \t]{0,20}|[.!?…,;:][\"'”’»)\]]{0,3}[ \t\n]{1,20})"
 SPAN = 3
 #: Characters that a run must hold.
 MIN_CHARS = 40
+#: Words that a run of fewer pieces than a span must hold.
+MIN_WORDS = 20
+RUNS = "array<struct<h1: bigint, h2: bigint, pos: int, size: int>>"
 
 
-def pieces(text: Column) -> Column:
-    return F.split(text, CUT, -1)
+def pieces(text: Column, cut: str = CUT) -> Column:
+    return F.split(text, cut, -1)
 
 
 def piece_hash(piece: Column) -> Column:
     return F.xxhash64(F.lower(F.btrim(piece, F.lit(BLANKS))))
 
 
-def runs_of(text: Column, span: int, min_chars: int) -> Column:
-    """An array of (h1, h2, pos) of a text's runs."""
-    each = F.transform(pieces(text), lambda p: F.struct(piece_hash(p).alias("h"), F.length(p).alias("n")))
+def runs_of(text: Column, span: int, min_chars: int, min_words: int | None = None) -> Column:
+    """An array of (h1, h2, pos, size) of a text's runs. min_words: None for runs of span pieces only, as they are."""
+    each = F.transform(
+        pieces(text, CUT if min_words is None else WIDE_CUT),
+        lambda p: F.struct(piece_hash(p).alias("h"), F.length(p).alias("n"), (F.lit(0) if min_words is None else F.regexp_count(p, F.lit(WORD))).alias("w")),
+    )
 
-    def run(e: Column, i: Column) -> Column:
-        own = [F.get(e, i + k) for k in range(span)]
-        chars = own[0]["n"]
-        for x in own[1:]:
-            chars = chars + x["n"]
-        hashes = [x["h"] for x in own]
-        return F.struct(
-            F.xxhash64(*hashes).alias("h1"), F.xxhash64(F.lit(1), *reversed(hashes)).alias("h2"), i.cast("int").alias("pos"), chars.alias("chars")
-        )
+    def total(e: Column, i: Column, size: int, field: str) -> Column:
+        """Null beyond the last piece."""
+        return sum((F.get(e, i + k)[field] for k in range(1, size)), F.get(e, i)[field])
+
+    def run(hashes: Column | list[Column], i: Column, size: Column) -> Column:
+        one, other = (F.xxhash64(*hashes), F.xxhash64(F.lit(1), *reversed(hashes))) if isinstance(hashes, list) else (F.xxhash64(hashes), F.xxhash64(F.lit(1), F.reverse(hashes)))
+        return F.struct(one.alias("h1"), other.alias("h2"), i.cast("int").alias("pos"), size.cast("int").alias("size"))
+
+    def fixed(e: Column, size: int, field: str, least: int) -> Column:
+        starts = F.when(F.size(e) >= size, F.sequence(F.lit(0), F.size(e) - size))
+        starts = F.filter(starts, lambda i: total(e, i, size, field) >= least)
+        return F.coalesce(F.transform(starts, lambda i: run([F.get(e, i + k)["h"] for k in range(size)], i, F.lit(size))), F.array().cast(RUNS))
+
+    def extended(e: Column) -> Column:
+        """Runs of span pieces that are too short, with as many more as it takes; a piece holds a character at least."""
+        starts = F.when(F.size(e) > span, F.sequence(F.lit(0), F.size(e) - span - 1))
+        starts = F.filter(starts, lambda i: total(e, i, span, "n") < min_chars)
+
+        def grown(i: Column) -> Column:
+            begin = F.struct(F.lit(span).alias("size"), total(e, i, span, "n").alias("n"))
+            more = lambda a, x: F.when(a["n"] >= min_chars, a).otherwise(F.struct((a["size"] + 1).alias("size"), (a["n"] + x["n"]).alias("n")))
+            return F.struct(i.alias("i"), F.aggregate(F.slice(e, i + span + 1, F.lit(min_chars)), begin, more).alias("a"))
+
+        found = F.filter(F.transform(starts, grown), lambda g: g["a"]["n"] >= min_chars)
+        one = lambda g: run(F.transform(F.slice(e, g["i"] + 1, g["a"]["size"]), lambda x: x["h"]), g["i"], g["a"]["size"])
+        return F.coalesce(F.transform(found, one), F.array().cast(RUNS))
 
     def slide(e: Column) -> Column:
-        starts = F.when(F.size(e) >= span, F.sequence(F.lit(0), F.size(e) - span))
-        return F.filter(F.transform(starts, lambda i: run(e, i)), lambda r: r["chars"] >= min_chars)
+        runs = fixed(e, span, "n", min_chars)
+        if min_words is None:
+            return runs
+        return F.concat(runs, extended(e), *(fixed(e, size, "w", min_words) for size in range(1, span)))
 
     return F.transform(F.array(each), slide)[0]
 
 
-def repeated_starts(docs: DataFrame, span: int, min_chars: int, id_col: str, text_col: str) -> DataFrame:
-    """doc_id, tk and starts (positions of runs that repeat an earlier one) of the documents that have any."""
+def repeated_starts(docs: DataFrame, span: int, min_chars: int, id_col: str, text_col: str, min_words: int | None = None) -> DataFrame:
+    """doc_id, tk and starts (pos and size of runs that repeat an earlier one) of the documents that have any."""
     text = F.col(text_col)
-    runs = docs.select(F.col(id_col).alias("doc_id"), text_key(text).alias("tk"), F.explode(runs_of(text, span, min_chars)).alias("r"))
-    runs = runs.select("doc_id", "tk", F.col("r.h1").alias("h1"), F.col("r.h2").alias("h2"), F.col("r.pos").alias("pos"))
+    runs = docs.select(F.col(id_col).alias("doc_id"), text_key(text).alias("tk"), F.explode(runs_of(text, span, min_chars, min_words)).alias("r"))
+    runs = runs.select("doc_id", "tk", F.col("r.h1").alias("h1"), F.col("r.h2").alias("h2"), F.col("r.pos").alias("pos"), F.col("r.size").alias("size"))
     place = F.struct("doc_id", "tk", "pos")
     # Equal rows repeat the same places; they don't make a run repeated, since its first place is theirs too.
     repeated = runs.groupBy("h1", "h2").agg(F.min(place).alias("first"), F.max(place).alias("last")).where("NOT first <=> last").select("h1", "h2", "first")
     later = runs.join(repeated, ["h1", "h2"]).where(~place.eqNullSafe(F.col("first")))
-    return later.groupBy("doc_id", "tk").agg(F.collect_set("pos").alias("starts"))
+    return later.groupBy("doc_id", "tk").agg(F.collect_set(F.struct("pos", "size")).alias("starts"))
 
 
 def sentence_dedup(
-    docs: DataFrame, span: int = SPAN, min_chars: int = MIN_CHARS, id_col: str = "doc_id", text_col: str = "text"
+    docs: DataFrame, span: int = SPAN, min_chars: int = MIN_CHARS, id_col: str = "doc_id", text_col: str = "text", min_words: int | None = None
 ) -> DataFrame:
-    """The input with the text less its repeated passages, and n_pieces and n_removed besides."""
-    found = repeated_starts(docs, span, min_chars, id_col, text_col)
+    """The input with the text less its repeated passages, and n_pieces and n_removed besides. min_words: see runs_of."""
+    cut = CUT if min_words is None else WIDE_CUT
+    found = repeated_starts(docs, span, min_chars, id_col, text_col, min_words)
     tag = lambda i, t: {"no_id": i.isNull(), "k_id": F.coalesce(i.cast("string"), F.lit("")), "k_text": t}
     found = found.select("starts", *(c.alias(k) for k, c in tag(F.col("doc_id"), F.col("tk")).items()))
     rows = with_row(docs, **tag(F.col(id_col), text_key(F.col(text_col))))
     joined = rows.join(found, ["no_id", "k_id", "k_text"], "left").select("_row", "starts")
     text = F.col(f"_row.`{text_col}`")
-    # A piece is covered if one of the span runs that hold it begins in starts; a map lookup would scan, so covers are marked once.
-    covered = F.array_distinct(F.flatten(F.transform("starts", lambda s: F.sequence(s, s + (span - 1)))))
-    left = F.transform(F.array(F.sort_array(covered)), lambda c: _without(pieces(text), c))[0]
+    # A piece is covered if a run of starts holds it; a map lookup would scan, so covers are marked once.
+    covered = F.array_distinct(F.flatten(F.transform("starts", lambda s: F.sequence(s["pos"], s["pos"] + s["size"] - 1))))
+    left = F.transform(F.array(F.sort_array(covered)), lambda c: _without(pieces(text, cut), c))[0]
     clean = F.when(F.col("starts").isNull(), text).otherwise(left)
-    n_pieces = F.coalesce(F.size(pieces(F.when(text != "", text))), F.lit(0)).cast("long")
+    n_pieces = F.coalesce(F.size(pieces(F.when(text != "", text), cut)), F.lit(0)).cast("long")
     out = joined.select("_row", clean.alias("_text"), F.greatest(n_pieces, F.lit(0)).alias("_n"), F.coalesce(F.size(covered), F.lit(0)).cast("long").alias("_gone"))
     columns = [F.col("_text").alias(c) if c == text_col else F.col(f"_row.`{c}`").alias(c) for c in docs.columns if c not in ("n_pieces", "n_removed")]
     return out.select(*columns, F.col("_n").alias("n_pieces"), F.when(F.col("_gone") > 0, F.col("_gone")).otherwise(F.lit(0)).alias("n_removed"))
 
 
+def passage_dedup(docs: DataFrame, span: int = SPAN, min_chars: int = MIN_CHARS, min_words: int = MIN_WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """sentence_dedup with longer runs of short pieces and shorter runs of long ones."""
+    return sentence_dedup(docs, span, min_chars, id_col, text_col, min_words)
+
+
 def _without(each: Column, gone: Column) -> Column:
     """The pieces outside gone (positions in ascending order), joined: what lies between one gone piece and the next is a slice."""
     n = F.size(gone)
@@ -108,5 +143,5 @@ def _without(each: Column, gone: Column) -> Column:
 
 
 def query(spark, sf_dir):
-    out = sentence_dedup(documents(spark, sf_dir).select("doc_id", "text"))
+    out = passage_dedup(documents(spark, sf_dir).select("doc_id", "text"))
     return out.select("doc_id", (F.col("n_removed") > 0).alias("repeats"), "n_pieces", "n_removed", "text")

@@ -173,6 +173,23 @@ def test_planted_passage(spark):
         assert "frozen from bank" not in out[i].text and out[i].text.startswith(f"Document {i} opens") and "ends" in out[i].text
 
 
+def test_passages_of_long_and_short_pieces(spark):
+    """Repeated passages of 50 words: in 1 to 4 sentences, in one-word pieces, and with quotes or two blanks after the sentence ends."""
+    words = [f"w{k * 37 % 101}x{k}" for k in range(51)]
+    cut = lambda n, end: end.join(" ".join(words[k * 51 // n : (k + 1) * 51 // n]) for k in range(n))
+    passages = [cut(n, ". ") for n in (1, 2, 3, 4)] + [" ".join(f"A{k % 7}B{k}!!" for k in range(51)), cut(6, ".  "), cut(6, '." ')]
+    for passage in passages:
+        docs = [(k, f"Text {k} begins its own way, {k}. {passage}. It ends, {k * 11}, in another one.") for k in range(3)]
+        docs += [(9, "So it goes. A, b, c. So it goes. A, b.")]
+        df = spark.createDataFrame(docs, "doc_id long, text string")
+        out = {r.doc_id: r for r in substring_dedup.passage_dedup(df).collect()}
+        assert out[0].text == docs[0][1] and out[9].text == docs[3][1]
+        for k in (1, 2):
+            left = set(out[k].text.split())
+            assert out[k].text.startswith(f"Text {k} begins") and f"{k * 11}," in left
+            assert len(left & set(passage.split())) <= 3, (passage, out[k].text)
+
+
 def test_forest_held_out(spark):
     trees = secret_scan.train(secret_scan.labelled_findings(spark))
     held = secret_scan.with_features(secret_scan.labelled_findings(spark, 3000, seed=77)).withColumn("score", secret_scan.score(trees))
