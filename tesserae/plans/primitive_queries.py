@@ -331,3 +331,20 @@ def pointer_jumping(spark, d):
 @R.add("ranked_window", "SELECT o_orderkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS rank FROM orders")
 def ranked_window(spark, d):
     return table(spark, d, "orders").select("o_orderkey", F.row_number().over(Window.partitionBy("o_custkey").orderBy("o_orderdate", "o_orderkey")).cast("long").alias("rank"))
+
+
+# Without SQL, as recursion over whole tables is too slow; the tests hold them against brute force.
+
+
+@R.add("graph_connectivity_whole")
+def graph_connectivity_whole(spark, d):
+    """All customers and their nations (below 0) as nodes, ids as they are."""
+    edges = table(spark, d, "customer").select(F.col("c_custkey").cast("long").alias("a"), (-F.col("c_nationkey").cast("long") - 1).alias("b"))
+    return graph.graph_connectivity(edges.select(F.explode(F.array("a", "b")).alias("node")).distinct(), edges)
+
+
+@R.add("cell_connectivity_whole")
+def cell_connectivity_whole(spark, d):
+    """All orders as cells, parts of a supplier as edges."""
+    rows = table(spark, d, "lineitem")
+    return graph.cell_connectivity(rows.select(F.col("l_orderkey").alias("cell"), F.struct("l_partkey", "l_suppkey").alias("edge")))

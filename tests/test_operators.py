@@ -119,3 +119,36 @@ def test_images_and_bricks(spark, tmp_path):
     (tmp_path / "b.bov").write_text("DATA FILE: b.raw\nDATA SIZE: 4 3 2\nDATA FORMAT: FLOAT\nDATA ENDIAN: BIG\n")
     rows = images.read_brick(spark, str(tmp_path / "b.bov")).collect()
     assert sorted((r.id, r.value) for r in rows) == [(i, float(i)) for i in range(24)] and max(r.k for r in rows) == 1
+
+
+def brute_components(nodes, edges):
+    """node: number of its component, in the order of least nodes."""
+    near = {n: [] for n in nodes}
+    for a, b in edges:
+        near[a].append(b)
+        near[b].append(a)
+    found, n = {}, 0
+    for node in sorted(nodes):
+        if node not in found:
+            stack = [node]
+            found[node] = n
+            while stack:
+                for x in near[stack.pop()]:
+                    if x not in found:
+                        found[x] = n
+                        stack.append(x)
+            n += 1
+    return found
+
+
+def test_connectivity_over_whole_tables(spark, sf_dir):
+    from tesserae.plans import catalog
+
+    items = [tuple(map(int, r)) for r in spark.read.parquet(f"{sf_dir}/lineitem.parquet").select("l_orderkey", "l_partkey", "l_suppkey").collect()]
+    edges = [(int(c), -int(n) - 1) for c, n in spark.read.parquet(f"{sf_dir}/customer.parquet").select("c_custkey", "c_nationkey").collect()]
+    got = catalog.queries()["graph_connectivity_whole"](spark, sf_dir).collect()
+    assert {int(r.node): r.component for r in got} == brute_components({x for e in edges for x in e}, edges)
+    first = {}
+    links = [(first.setdefault((p, s), o), o) for o, p, s in items]
+    got = catalog.queries()["cell_connectivity_whole"](spark, sf_dir).collect()
+    assert len(got) > 400 and {int(r.cell): r.component for r in got} == brute_components({o for o, _, _ in items}, links)
