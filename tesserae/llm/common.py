@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import shutil
 import tempfile
 import uuid
@@ -35,8 +36,32 @@ def shared_folder(spark: SparkSession) -> str:
     return named.rstrip("/")
 
 
+#: Folders to delete when the driver ends.
+_folders: list[str] = []
+
+
+def _clean_up() -> None:
+    spark = SparkSession.getActiveSession()
+    if spark is None or spark.sparkContext._jsc is None:
+        return
+    for folder in _folders:
+        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def fresh_folder(spark: SparkSession, name: str) -> str:
-    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    """A new name in the shared folder; what is written there goes when the driver ends."""
+    if not _folders:
+        atexit.register(_clean_up)
+    _folders.append(f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}")
+    return _folders[-1]
+
+
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """The rows written to the shared folder as Parquet, without lineage; smaller than a checkpoint."""
+    path = fresh_folder(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
