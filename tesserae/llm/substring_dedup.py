@@ -1,147 +1,140 @@
 """Removal of passages that repeat, by sliding spans of sentences.
 
-A text is cut after sentence ends, clause marks and line breaks; the pieces keep
-their trailing blanks, so that together they are the text. Every run of `span`
-consecutive pieces is hashed (128 bits over the pieces' normalised forms), unless
-it is too short to mean anything. passage_dedup leaves no passage out for its shape: it
-cuts after closing quotes and several blanks too, a run that is too short goes on until
-it is long enough, and fewer pieces are a run if they hold many words. Runs are joined globally on their hash; the
-first of equal runs (by doc_id, text digest, position) stays, and pieces that any
-other one covers are removed.
-
-Null texts stay null; empty texts, and texts of fewer pieces than a run, stay as
-they are; rows under one doc_id with one text are one document, whose verdict all
-of them get; null ids are one id, the first. An empty table gives an empty
-result. sentence_dedup passes further columns on.
+A text is cut into sentences: after a sentence end (closing quotes and brackets may follow
+it) with blanks, and at line breaks. From each sentence on, a run of as many consecutive ones
+as it takes to hold MIN_WORDS words is hashed (128 bits over their normalised forms: lower
+case, one blank between words). Several short sentences are a run, or a single one as long
+as that; a span of that many words does not repeat by chance, as a heading or a formula of
+greeting does. Runs are joined globally on their hash; the first of equal runs (by doc_id,
+text digest, position) stays, and sentences that any other one covers are removed.
+
+Runs hold digests and byte offsets, no text. A hash that more than one in HOT of all runs
+has (there are HOT of these at most) is joined by a broadcast, so that no task gets all
+copies of a boilerplate passage; others are joined by a shuffle.
+
+Null texts stay null; empty texts, and texts of fewer words than a run, stay as they are;
+texts of any length are cut whole, in linear time; rows under one doc_id with one text are
+one document, whose verdict all of them get; null ids are one id, the first; ties of runs
+are settled by the digest of the text, then by position. An empty table gives an empty
+result. Further columns pass through whatever their names, save `n_removed`, which is replaced.
 """
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tesserae.llm.common import BLANKS, WORD, documents, text_key, with_row
+from tesserae.llm.common import documents, map_arrow, stored, text_key, with_row
 
-#: Before a non-blank after a blank, if a sentence end, a clause mark or a line break precedes that.
-CUT = r"(?<=[ \n])(?<=[.!?…,;:\n] |\n)(?=[^ \n])"
-#: The same, but closing quotes and brackets may follow the mark, and any blanks.
-WIDE_CUT = r"(?<=[ \t\n])(?=[^ \t\n])(?<=\n[ \t]{0,20}|[.!?…,;:][\"'”’»)\]]{0,3}[ \t\n]{1,20})"
-SPAN = 3
-#: Characters that a run must hold.
-MIN_CHARS = 40
-#: Words that a run of fewer pieces than a span must hold.
+#: Words that a run holds at least.
 MIN_WORDS = 20
-RUNS = "array<struct<h1: bigint, h2: bigint, pos: int, size: int>>"
-
-
-def pieces(text: Column, cut: str = CUT) -> Column:
-    return F.split(text, cut, -1)
-
-
-def piece_hash(piece: Column) -> Column:
-    return F.xxhash64(F.lower(F.btrim(piece, F.lit(BLANKS))))
-
-
-def runs_of(text: Column, span: int, min_chars: int, min_words: int | None = None) -> Column:
-    """An array of (h1, h2, pos, size) of a text's runs. min_words: None for runs of span pieces only, as they are."""
-    each = F.transform(
-        pieces(text, CUT if min_words is None else WIDE_CUT),
-        lambda p: F.struct(piece_hash(p).alias("h"), F.length(p).alias("n"), (F.lit(0) if min_words is None else F.regexp_count(p, F.lit(WORD))).alias("w")),
-    )
-
-    def total(e: Column, i: Column, size: int, field: str) -> Column:
-        """Null beyond the last piece."""
-        return sum((F.get(e, i + k)[field] for k in range(1, size)), F.get(e, i)[field])
-
-    def run(hashes: Column | list[Column], i: Column, size: Column) -> Column:
-        one, other = (F.xxhash64(*hashes), F.xxhash64(F.lit(1), *reversed(hashes))) if isinstance(hashes, list) else (F.xxhash64(hashes), F.xxhash64(F.lit(1), F.reverse(hashes)))
-        return F.struct(one.alias("h1"), other.alias("h2"), i.cast("int").alias("pos"), size.cast("int").alias("size"))
-
-    def fixed(e: Column, size: int, field: str, least: int) -> Column:
-        starts = F.when(F.size(e) >= size, F.sequence(F.lit(0), F.size(e) - size))
-        starts = F.filter(starts, lambda i: total(e, i, size, field) >= least)
-        return F.coalesce(F.transform(starts, lambda i: run([F.get(e, i + k)["h"] for k in range(size)], i, F.lit(size))), F.array().cast(RUNS))
-
-    def extended(e: Column) -> Column:
-        """Runs of span pieces that are too short, with as many more as it takes; a piece holds a character at least."""
-        starts = F.when(F.size(e) > span, F.sequence(F.lit(0), F.size(e) - span - 1))
-        starts = F.filter(starts, lambda i: total(e, i, span, "n") < min_chars)
-
-        def grown(i: Column) -> Column:
-            begin = F.struct(F.lit(span).alias("size"), total(e, i, span, "n").alias("n"))
-            more = lambda a, x: F.when(a["n"] >= min_chars, a).otherwise(F.struct((a["size"] + 1).alias("size"), (a["n"] + x["n"]).alias("n")))
-            return F.struct(i.alias("i"), F.aggregate(F.slice(e, i + span + 1, F.lit(min_chars)), begin, more).alias("a"))
-
-        found = F.filter(F.transform(starts, grown), lambda g: g["a"]["n"] >= min_chars)
-        one = lambda g: run(F.transform(F.slice(e, g["i"] + 1, g["a"]["size"]), lambda x: x["h"]), g["i"], g["a"]["size"])
-        return F.coalesce(F.transform(found, one), F.array().cast(RUNS))
+#: A hash is hot if more than one in HOT runs has it.
+HOT = 1000
+#: What ends a sentence, in UTF-8: a mark, closing quotes or brackets and blanks, or a line break.
+END = re.compile(rb"(?:[.!?]|\xe2\x80\xa6)(?:[\"'\])]|\xe2\x80[\x98\x99\x9c\x9d]|\xc2\xbb)*+[ \t-\r]++|\n[ \t-\r]*+")
+
+
+def cuts(text: bytes) -> list[int]:
+    """Where the sentences of a text begin, and its length."""
+    at = [0, *(m.end() for m in END.finditer(text))]
+    return at if at[-1] == len(text) else [*at, len(text)]
+
+
+def runs_of(text: bytes, min_words: int) -> tuple[list[bytes], list[int], list[int]]:
+    """Digests of a text's runs, and where they begin and end."""
+    at = cuts(text)
+    counts, digests = [], []
+    for a, b in zip(at, at[1:]):
+        words = text[a:b].decode("utf-8").lower().encode("utf-8").split()
+        counts.append(len(words))
+        digests.append(xxhash.xxh3_128_digest(b" ".join(words)))
+    found, starts, ends = [], [], []
+    last = n = 0
+    for first, own in enumerate(counts):
+        while last < len(counts) and n < min_words:
+            n += counts[last]
+            last += 1
+        if n < min_words:
+            break
+        if own:  # else the next run is this one
+            found.append(xxhash.xxh3_128_digest(b"".join(d for d, c in zip(digests[first:last], counts[first:last]) if c)))
+            starts.append(at[first])
+            ends.append(at[last])
+        n -= own
+    return found, starts, ends
+
+
+def _runs(min_words: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            hashes, starts, ends, owner = [], [], [], []
+            for k, text in enumerate(batch.column(2).cast(pa.binary())):
+                found, s, e = runs_of(text.as_py() or b"", min_words)
+                hashes += found
+                starts += s
+                ends += e
+                owner += [k] * len(found)
+            h = np.frombuffer(b"".join(hashes), "<i8").reshape(-1, 2)
+            at = pa.array(owner, pa.int32())
+            columns = [batch.column(0).take(at), batch.column(1).take(at), pa.array(h[:, 0]), pa.array(h[:, 1]), pa.array(starts, pa.int32()), pa.array(ends, pa.int32())]
+            yield pa.record_batch(columns, ["doc_id", "tk", "h1", "h2", "start", "end"])
+
+    return run
+
+
+def repeated_runs(docs: DataFrame, min_words: int, id_col: str, text_col: str) -> DataFrame:
+    """doc_id, tk and spans (start and end of runs that repeat an earlier one) of the documents that have any."""
+    text = F.col(text_col)
+    thin = docs.select(F.col(id_col).alias("doc_id"), text_key(text).alias("tk"), text.alias("text")).where("text IS NOT NULL")
+    kind = docs.schema[id_col].dataType.simpleString()
+    runs = stored(map_arrow(thin, _runs(min_words), f"doc_id {kind}, tk long, h1 long, h2 long, start int, end int"), "passage-runs")
+    place = F.struct("doc_id", "tk", "start")
+    # Equal rows repeat the same places; they don't make a run repeated, since its first place is theirs too.
+    groups = runs.groupBy("h1", "h2").agg(F.min(place).alias("first"), F.max(place).alias("last"), F.count("*").alias("n")).where("NOT first <=> last")
+    groups = stored(groups.select("h1", "h2", "first", "n"), "passage-repeats")
+    most = max(1000, runs.count() // HOT)
+    hot, rest = groups.where(F.col("n") > most), groups.where(F.col("n") <= most)
+    with_hot = runs.join(F.broadcast(hot.drop("n")), ["h1", "h2"])  # HOT rows at most
+    others = runs.join(F.broadcast(hot.select("h1", "h2")), ["h1", "h2"], "left_anti").join(rest.drop("n"), ["h1", "h2"])
+    later = with_hot.unionByName(others).where(~place.eqNullSafe(F.col("first")))
+    return later.groupBy("doc_id", "tk").agg(F.sort_array(F.collect_set(F.struct("start", "end"))).alias("spans"))  # a document's own
 
-    def slide(e: Column) -> Column:
-        runs = fixed(e, span, "n", min_chars)
-        if min_words is None:
-            return runs
-        return F.concat(runs, extended(e), *(fixed(e, size, "w", min_words) for size in range(1, span)))
 
-    return F.transform(F.array(each), slide)[0]
+def islands(spans: Column) -> Column:
+    """Spans that overlap or touch as one. Both starts and ends ascend."""
+    firsts = F.filter(spans, lambda s, i: (i == 0) | (s["start"] > F.get(spans, i - 1)["end"]))
+    lasts = F.filter(spans, lambda s, i: (i == F.size(spans) - 1) | (F.get(spans, i + 1)["start"] > s["end"]))
+    return F.zip_with(firsts, lasts, lambda a, b: F.struct(a["start"].alias("start"), b["end"].alias("end")))
 
 
-def repeated_starts(docs: DataFrame, span: int, min_chars: int, id_col: str, text_col: str, min_words: int | None = None) -> DataFrame:
-    """doc_id, tk and starts (pos and size of runs that repeat an earlier one) of the documents that have any."""
-    text = F.col(text_col)
-    runs = docs.select(F.col(id_col).alias("doc_id"), text_key(text).alias("tk"), F.explode(runs_of(text, span, min_chars, min_words)).alias("r"))
-    runs = runs.select("doc_id", "tk", F.col("r.h1").alias("h1"), F.col("r.h2").alias("h2"), F.col("r.pos").alias("pos"), F.col("r.size").alias("size"))
-    place = F.struct("doc_id", "tk", "pos")
-    # Equal rows repeat the same places; they don't make a run repeated, since its first place is theirs too.
-    repeated = runs.groupBy("h1", "h2").agg(F.min(place).alias("first"), F.max(place).alias("last")).where("NOT first <=> last").select("h1", "h2", "first")
-    later = runs.join(repeated, ["h1", "h2"]).where(~place.eqNullSafe(F.col("first")))
-    return later.groupBy("doc_id", "tk").agg(F.collect_set(F.struct("pos", "size")).alias("starts"))
+def _without(text: Column, gone: Column) -> Column:
+    """The text less the bytes of islands."""
+    raw = text.cast("binary")
+    ends = F.concat(F.array(F.lit(0)), F.transform(gone, lambda g: g["end"]))
+    starts = F.concat(F.transform(gone, lambda g: g["start"]), F.array(F.octet_length(text)))
+    return F.array_join(F.zip_with(ends, starts, lambda a, b: F.call_function("substring", raw, a + 1, b - a).cast("string")), "")
 
 
-def sentence_dedup(
-    docs: DataFrame, span: int = SPAN, min_chars: int = MIN_CHARS, id_col: str = "doc_id", text_col: str = "text", min_words: int | None = None
-) -> DataFrame:
-    """The input with the text less its repeated passages, and n_pieces and n_removed besides. min_words: see runs_of."""
-    cut = CUT if min_words is None else WIDE_CUT
-    found = repeated_starts(docs, span, min_chars, id_col, text_col, min_words)
+def passage_dedup(docs: DataFrame, min_words: int = MIN_WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The input with the text less its repeated passages, and n_removed, the number of bytes removed."""
     tag = lambda i, t: {"no_id": i.isNull(), "k_id": F.coalesce(i.cast("string"), F.lit("")), "k_text": t}
-    found = found.select("starts", *(c.alias(k) for k, c in tag(F.col("doc_id"), F.col("tk")).items()))
+    found = repeated_runs(docs, min_words, id_col, text_col)
+    found = found.select(islands(F.col("spans")).alias("gone"), *(c.alias(k) for k, c in tag(F.col("doc_id"), F.col("tk")).items()))
     rows = with_row(docs, **tag(F.col(id_col), text_key(F.col(text_col))))
-    joined = rows.join(found, ["no_id", "k_id", "k_text"], "left").select("_row", "starts")
+    joined = rows.join(found, ["no_id", "k_id", "k_text"], "left").select("_row", "gone")
     text = F.col(f"_row.`{text_col}`")
-    # A piece is covered if a run of starts holds it; a map lookup would scan, so covers are marked once.
-    covered = F.array_distinct(F.flatten(F.transform("starts", lambda s: F.sequence(s["pos"], s["pos"] + s["size"] - 1))))
-    left = F.transform(F.array(F.sort_array(covered)), lambda c: _without(pieces(text, cut), c))[0]
-    clean = F.when(F.col("starts").isNull(), text).otherwise(left)
-    n_pieces = F.coalesce(F.size(pieces(F.when(text != "", text), cut)), F.lit(0)).cast("long")
-    out = joined.select("_row", clean.alias("_text"), F.greatest(n_pieces, F.lit(0)).alias("_n"), F.coalesce(F.size(covered), F.lit(0)).cast("long").alias("_gone"))
-    columns = [F.col("_text").alias(c) if c == text_col else F.col(f"_row.`{c}`").alias(c) for c in docs.columns if c not in ("n_pieces", "n_removed")]
-    return out.select(*columns, F.col("_n").alias("n_pieces"), F.when(F.col("_gone") > 0, F.col("_gone")).otherwise(F.lit(0)).alias("n_removed"))
-
-
-def passage_dedup(docs: DataFrame, span: int = SPAN, min_chars: int = MIN_CHARS, min_words: int = MIN_WORDS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """sentence_dedup with longer runs of short pieces and shorter runs of long ones."""
-    return sentence_dedup(docs, span, min_chars, id_col, text_col, min_words)
-
-
-def _without(each: Column, gone: Column) -> Column:
-    """The pieces outside gone (positions in ascending order), joined: what lies between one gone piece and the next is a slice."""
-    n = F.size(gone)
-    bounds = F.concat(F.array(F.lit(-1)), gone)
-
-    def join(p: Column, b: Column) -> Column:
-        return F.array_join(
-            F.transform(
-                F.sequence(F.lit(0), n),
-                lambda i: F.array_join(
-                    F.slice(p, F.get(b, i) + 2, F.coalesce(F.get(b, i + 1), F.size(p)) - F.get(b, i) - 1), ""
-                ),
-            ),
-            "",
-        )
-
-    return F.transform(F.array(F.struct(each.alias("p"), bounds.alias("b"))), lambda x: join(x["p"], x["b"]))[0]
+    clean = F.when(F.col("gone").isNull(), text).otherwise(_without(text, F.col("gone")))
+    n = F.coalesce(F.aggregate("gone", F.lit(0).cast("long"), lambda a, g: a + g["end"] - g["start"]), F.lit(0).cast("long"))
+    out = joined.select("_row", clean.alias("_text"), n.alias("_n"))
+    return out.select(*(F.col("_text").alias(c) if c == text_col else F.col(f"_row.`{c}`").alias(c) for c in docs.columns if c != "n_removed"), F.col("_n").alias("n_removed"))
 
 
 def query(spark, sf_dir):
     out = passage_dedup(documents(spark, sf_dir).select("doc_id", "text"))
-    return out.select("doc_id", (F.col("n_removed") > 0).alias("repeats"), "n_pieces", "n_removed", "text")
+    return out.select("doc_id", (F.col("n_removed") > 0).alias("repeats"), "n_removed", "text")
