@@ -16,13 +16,18 @@ no place of their own are its `extra`, as canonical JSON; those of a message wit
 content are its content.
 
 Results are rows of messages, ordered by columns (conv_id, anchor, level, turn),
-so that a conversation of any length is never gathered in one place.
+so that a conversation of any length is never gathered in one place. Where all that a
+conversation's messages refer to lies in earlier turns, the order of turns is the
+topological one, at no cost. Other conversations are placed by rounds, one for each step
+of their longest chain of references; what is never placed is a cycle, or waits for one.
 
 Null conversations are one conversation, null turns come first, null roles and
 texts are left out of the JSON. Of calls under one id in a conversation, the first
-(by turn, then by name and arguments) is linked to and the others are errors. Repeated rows stay
-repeated. Malformed JSON is ordinary text. Further columns are left out. An empty
-table gives an empty result.
+(by turn, then by name and arguments) is linked to and the others are errors. A call without
+an id, and a result that names none, link to nothing and are errors. Repeated rows stay
+repeated; of equal turns either may come first. Malformed JSON is ordinary text; texts of any
+length are kept whole. Further columns are left out, whatever their names. An empty table
+gives an empty result.
 """
 
 from __future__ import annotations
@@ -33,7 +38,7 @@ from itertools import count
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tesserae.llm.common import checkpointed
+from tesserae.llm.common import checkpointed, stored
 
 #: tool: parameter: (JSON type, required)
 Schemas = dict[str, dict[str, tuple[str, bool]]]
@@ -151,10 +156,11 @@ def format_chats(
     plain_only = rows.where("body.tool_calls IS NOT NULL OR role = 'tool'").isEmpty()
     if plain_only:
         return _lines(rows.select("*", F.col("turn").alias("anchor"), F.lit(0).alias("level"), F.array().cast("array<string>").alias("errors"), F.lit(None).cast("boolean").alias("linked")))
-    rows = checkpointed(rows)
+    rows = stored(rows, "chat-messages")
+    no = F.array().cast("array<string>")
     calls = rows.select("no_conv", "conv", "row_no", "turn", F.posexplode("body.tool_calls").alias("at", "call"))
-    calls = calls.select("no_conv", "conv", "row_no", "turn", "at", F.coalesce("call.id", F.lit("")).alias("id"), "call.name", "call.arguments", "call.depends_on")
-    first = calls.groupBy(*KEY).agg(F.min_by("row_no", F.struct("turn", "name", "arguments", "row_no")).alias("owner"), F.count("*").alias("n"))
+    calls = calls.select("no_conv", "conv", "row_no", "turn", "at", "call.id", "call.name", "call.arguments", "call.depends_on")
+    first = calls.where("id IS NOT NULL").groupBy(*KEY).agg(F.min_by(F.struct("row_no", "turn"), F.struct("turn", "name", "arguments", "row_no")).alias("owner"), F.count("*").alias("n"))
     if schemas is not None:
         wrong = argument_errors(F.col("name"), F.col("arguments"), schemas)
     else:
@@ -162,24 +168,29 @@ def format_chats(
         calls = calls.join(tools.withColumn("known", F.lit(True)), ["no_conv", "conv", "name"], "left")
         calls = calls.join(tools.select("no_conv", "conv").distinct().withColumn("strict", F.lit(True)), ["no_conv", "conv"], "left")
         wrong = F.when(F.col("strict") & F.col("known").isNull(), F.array(F.lit("unknown tool"))).otherwise(defined_errors(F.col("arguments"), F.col("parameters")))
-    twice = F.when((F.col("n") > 1) & (F.col("owner") != F.col("row_no")), F.array(F.concat(F.lit("repeated id "), F.col("id")))).otherwise(F.array().cast("array<string>"))
-    needs = calls.select("no_conv", "conv", "row_no", F.explode("depends_on").alias("id"))
-    answers = rows.where("role = 'tool'").select("no_conv", "conv", "row_no", F.coalesce("body.tool_call_id", F.lit("")).alias("id"))
-    refs = needs.withColumn("answer", F.lit(False)).unionByName(answers.withColumn("answer", F.lit(True)))
-    refs = refs.join(first.select(*KEY, "owner"), KEY, "left")
-    errors = calls.join(first, KEY).select("row_no", F.concat(wrong, twice).alias("e")).unionByName(
-        refs.where("owner IS NULL").select("row_no", F.array(F.concat(F.lit("no call "), F.col("id"))).alias("e"))
-    )
-    errors = errors.groupBy("row_no").agg(F.flatten(F.collect_list("e")).alias("errors"))
-    linked = refs.where("answer").groupBy("row_no").agg(F.bool_and(F.col("owner").isNotNull()).alias("linked"))
-    order = _order(rows.select("row_no", "turn"), refs.where("owner IS NOT NULL AND owner != row_no").select("row_no", "owner").distinct(), max_rounds)
-    done = rows.join(order, "row_no", "left").join(errors, "row_no", "left").join(linked, "row_no", "left")
-    cyclic = F.coalesce("cyclic", F.lit(False))
-    none = F.coalesce("errors", F.array().cast("array<string>"))
+    errors = calls.select("row_no", F.concat(wrong, F.when(F.col("id").isNull(), F.array(F.lit("no id"))).otherwise(no)).alias("e"))
+    several = calls.join(first.where("n > 1"), KEY).where(F.col("owner.row_no") != F.col("row_no"))
+    errors = errors.unionByName(several.select("row_no", F.array(F.concat(F.lit("repeated id "), F.col("id"))).alias("e")))
+    needs = calls.select("no_conv", "conv", "row_no", "turn", F.explode("depends_on").alias("id"), F.lit(False).alias("answer"))
+    answers = rows.where("role = 'tool'").select("no_conv", "conv", "row_no", "turn", F.col("body.tool_call_id").alias("id"), F.lit(True).alias("answer"))
+    refs = stored(needs.unionByName(answers).join(first.select(*KEY, "owner"), KEY, "left"), "chat-references")
+    errors = errors.unionByName(refs.where("owner IS NULL").select("row_no", F.array(F.concat(F.lit("no call "), F.coalesce("id", F.lit("")))).alias("e")))
+    linked = refs.where("answer").select("row_no", F.col("owner").isNotNull().alias("linked"))
+    # A message whose owner isn't of an earlier turn puts its conversation out of order.
+    refs = refs.where("owner IS NOT NULL AND owner.row_no != row_no").select("no_conv", "conv", "row_no", "turn", F.col("owner.row_no").alias("owner"), F.col("owner.turn").alias("owner_turn"))
+    late = refs.where(~F.coalesce((F.col("owner_turn") < F.col("turn")) | (F.col("owner_turn").isNull() & F.col("turn").isNotNull()), F.lit(False))).select("no_conv", "conv").distinct()
+    refs = refs.join(late, ["no_conv", "conv"], "left_semi").select("row_no", "owner").distinct()
+    order = _order(rows.select("row_no", "turn"), refs, max_rounds)
+    blank = {"e": no, "linked": F.lit(None).cast("boolean"), "place": F.lit(None).cast("struct<anchor: bigint, level: int, cyclic: boolean>")}
+    fill = lambda df, **own: df.select("row_no", *(own.get(k, v).alias(k) for k, v in blank.items()))
+    found = fill(errors, e=F.col("e")).unionByName(fill(linked, linked=F.col("linked"))).unionByName(fill(order, place=F.struct("anchor", "level", "cyclic")))
+    found = found.groupBy("row_no").agg(F.flatten(F.collect_list("e")).alias("errors"), F.bool_and("linked").alias("linked"), F.any_value("place", ignoreNulls=True).alias("place"))
+    done = rows.join(found, "row_no", "left")
+    own = F.coalesce("errors", no)
     return _lines(
-        done.withColumn("anchor", F.coalesce("anchor", "turn"))
-        .withColumn("level", F.coalesce("level", F.lit(0)))
-        .withColumn("errors", F.array_sort(F.when(cyclic, F.concat(none, F.array(F.lit("cycle")))).otherwise(none)))
+        done.withColumn("errors", F.array_sort(F.when(F.coalesce("place.cyclic", F.lit(False)), F.concat(own, F.array(F.lit("cycle")))).otherwise(own)))
+        .withColumn("anchor", F.coalesce("place.anchor", "turn"))
+        .withColumn("level", F.coalesce("place.level", F.lit(0)))
     )
 
 
@@ -190,6 +201,8 @@ def _order(turns: DataFrame, refs: DataFrame, max_rounds: int | None) -> DataFra
     and within one anchor its level is above theirs. A round for each step of the longest chain.
     """
     waiting = checkpointed(refs)
+    if waiting.isEmpty():
+        return turns.select("row_no", F.col("turn").alias("anchor"), F.lit(0).alias("level"), F.lit(False).alias("cyclic")).limit(0)
     targets = waiting.select(F.col("owner").alias("row_no")).distinct().join(waiting.select("row_no").distinct(), "row_no", "left_anti")
     placed = checkpointed(targets.join(turns, "row_no").select("row_no", F.col("turn").alias("anchor"), F.lit(0).alias("level"), F.lit(False).alias("cyclic")))
     result = [placed]
@@ -264,15 +277,74 @@ def _lines(rows: DataFrame) -> DataFrame:
     )
 
 
-def query(spark, sf_dir):
-    out = format_chats(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
-    return out.select("conv_id", "turn", "role", "anchor", F.col("level").cast("long").alias("level"), "n_calls", "n_errors", "json")
+#: Tools of the registered query.
+TOOLS: Schemas = {"search": {"query": ("string", True), "limit": ("integer", False)}, "count": {"n": ("integer", True), "exact": ("boolean", False)}}
 
 
-#: The given conversations hold no tool calls: every message is a line, in order of turns.
-SQL = r"""SELECT conv_id, turn, role, turn AS anchor, CAST(0 AS BIGINT) AS level, CAST(0 AS BIGINT) AS n_calls, CAST(0 AS BIGINT) AS n_errors,
-  '{' || concat_ws(',', CASE WHEN text IS NOT NULL THEN '"content":' || CAST(to_json(text) AS VARCHAR) END,
-    CASE WHEN conv_id IS NOT NULL THEN '"conv_id":' || conv_id END,
-    CASE WHEN role IS NOT NULL THEN '"role":' || CAST(to_json(role) AS VARCHAR) END,
-    CASE WHEN turn IS NOT NULL THEN '"turn":' || turn END) || '}' AS json
-FROM conversations"""
+def with_calls(messages: DataFrame) -> DataFrame:
+    """The conversations with tool calls, which the given tables lack: each assistant's message calls a tool, and a result answers it.
+
+    Calls depend on earlier ones in chains of four, in some conversations on later ones too, or in cycles. Some name unknown
+    tools, have arguments that don't fit, or are answered under another id or before they are made. Turns are numbered by fours.
+    """
+    k = F.floor(F.col("turn") / 2).cast("long")
+    pick = lambda m, r, of=k + F.col("conv_id"): F.pmod(of, F.lit(m)) == r
+    name = F.when(pick(11, 10), F.lit("lookup")).when(pick(3, 1), F.lit("count")).otherwise(F.lit("search"))
+    n = F.length("text").cast("long")
+    search = F.struct(
+        F.when(~pick(7, 5), F.substring("text", 1, 20)).alias("query"),
+        F.when(pick(7, 3), F.to_variant_object(F.array(F.lit("many")))).otherwise(n.cast("variant")).alias("limit"),
+        F.when(pick(7, 6), F.lit(True)).alias("x"),
+    )
+    arguments = F.when(name == "count", F.to_json(F.struct(pick(5, 2).alias("exact"), n.alias("n")))).otherwise(F.to_json(search))
+    id_ = lambda turn: F.concat(F.lit("c"), turn.cast("string"))
+    cyclic = F.pmod("conv_id", F.lit(17)) == 3
+    needs = F.when(~pick(4, 0, k), F.array(id_(F.col("turn") - 2))).when(cyclic, F.array(id_(F.col("turn") + 2)))
+    call = F.struct(F.from_json(arguments, "variant").alias("arguments"), needs.alias("depends_on"), id_(F.col("turn")).alias("id"), name.alias("name"))
+    asked = F.to_json(F.struct(F.col("text").alias("content"), F.array(call).alias("tool_calls")))
+    early = (F.pmod("conv_id", F.lit(5)) == 4) & pick(3, 1, k)
+    answer = F.to_json(F.struct(F.concat(F.lit("result "), n.cast("string")).alias("content"), F.when(pick(13, 12), F.lit("none")).otherwise(id_(F.col("turn"))).alias("tool_call_id")))
+    is_call = F.col("role") == "assistant"
+    first = F.struct((F.col("turn") * 4).alias("turn"), "role", F.when(is_call, asked).otherwise(F.col("text")).alias("text"))
+    second = F.struct((F.col("turn") * 4 + F.when(early, -1).otherwise(1)).alias("turn"), F.lit("tool").alias("role"), answer.alias("text"))
+    return messages.select("conv_id", F.explode(F.when(is_call, F.array(first, second)).otherwise(F.array(first))).alias("m")).select("conv_id", "m.*")
+
+
+def query(spark, sf_dir):
+    out = format_chats(with_calls(spark.read.parquet(f"{sf_dir}/conversations.parquet")), TOOLS)
+    return out.select("conv_id", "turn", "role", "anchor", F.col("level").cast("long").alias("level"), "n_calls", "n_errors", "linked", "json")
+
+
+#: with_calls() and the query's rows by definition: ancestors by recursion, cycles as nodes above themselves, levels as longest paths.
+SQL = r"""WITH RECURSIVE m AS (SELECT row_number() OVER () AS r, conv_id, turn AS t, role, text, turn // 2 AS k, turn // 2 + conv_id AS j, length(text) AS n FROM conversations),
+  a AS (SELECT *, CASE WHEN j % 11 = 10 THEN 'lookup' WHEN j % 3 = 1 THEN 'count' ELSE 'search' END AS name FROM m WHERE role = 'assistant'),
+  c AS (SELECT *, 'c' || t AS id, CASE WHEN k % 4 <> 0 THEN 'c' || (t - 2) WHEN conv_id % 17 = 3 THEN 'c' || (t + 2) END AS need,
+    CASE WHEN name = 'count' THEN '{"exact":' || (j % 5 = 2) || ',"n":' || n || '}'
+      ELSE '{"limit":' || CASE WHEN j % 7 = 3 THEN '["many"]' ELSE CAST(n AS VARCHAR) END || CASE WHEN j % 7 <> 5 THEN ',"query":' || CAST(to_json(substring(text, 1, 20)) AS VARCHAR) ELSE '' END
+        || CASE WHEN j % 7 = 6 THEN ',"x":true' ELSE '' END || '}' END AS args,
+    CASE WHEN name = 'lookup' THEN ['unknown tool'] WHEN name = 'count' THEN CAST([] AS VARCHAR[])
+      ELSE list_filter([CASE WHEN j % 7 = 3 THEN 'limit is no integer' END, CASE WHEN j % 7 = 5 THEN 'missing query' END, CASE WHEN j % 7 = 6 THEN 'unknown x' END], lambda x: x IS NOT NULL) END AS wrong
+    FROM a),
+  nodes AS (SELECT conv_id, 2 * r AS v, 4 * t AS turn, role, text AS content, CAST(NULL AS VARCHAR) AS tool_call_id, CAST(NULL AS VARCHAR) AS id, CAST(NULL AS VARCHAR) AS name, CAST(NULL AS VARCHAR) AS args, CAST(NULL AS VARCHAR) AS need, CAST([] AS VARCHAR[]) AS wrong FROM m WHERE role <> 'assistant'
+    UNION ALL SELECT conv_id, 2 * r, 4 * t, role, text, NULL, id, name, args, need, wrong FROM c
+    UNION ALL SELECT conv_id, 2 * r + 1, 4 * t + CASE WHEN conv_id % 5 = 4 AND k % 3 = 1 THEN -1 ELSE 1 END, 'tool', 'result ' || n, CASE WHEN j % 13 = 12 THEN 'none' ELSE id END, NULL, NULL, NULL, NULL, CAST([] AS VARCHAR[]) FROM c),
+  refs AS (SELECT x.conv_id, x.v, x.tool_call_id IS NOT NULL AS answer, coalesce(x.need, x.tool_call_id) AS wanted, y.v AS u FROM nodes x LEFT JOIN nodes y ON y.conv_id = x.conv_id AND y.id = coalesce(x.need, x.tool_call_id)
+    WHERE x.need IS NOT NULL OR x.tool_call_id IS NOT NULL),
+  e AS (SELECT v, u FROM refs WHERE u IS NOT NULL AND u <> v),
+  up(v, u) AS (SELECT v, u FROM e UNION SELECT up.v, e.u FROM up JOIN e ON e.v = up.u),
+  loops AS (SELECT v FROM up WHERE v = u),
+  stuck AS (SELECT v FROM loops UNION SELECT up.v FROM up JOIN loops ON loops.v = up.u),
+  anchors AS (SELECT x.v, greatest(x.turn, max(y.turn)) AS anchor FROM nodes x JOIN up ON up.v = x.v JOIN nodes y ON y.v = up.u WHERE x.v NOT IN (SELECT v FROM stuck) GROUP BY x.v, x.turn),
+  placed AS (SELECT nodes.*, stuck.v IS NOT NULL AS cyclic, coalesce(anchors.anchor, nodes.turn) AS anchor FROM nodes LEFT JOIN anchors USING (v) LEFT JOIN stuck ON stuck.v = nodes.v),
+  same AS (SELECT e.v, e.u FROM e JOIN placed x ON x.v = e.v JOIN placed y ON y.v = e.u WHERE x.anchor = y.anchor AND NOT x.cyclic),
+  depth(v, n) AS (SELECT v, 1 FROM same UNION SELECT same.v, depth.n + 1 FROM depth JOIN same ON same.u = depth.v),
+  levels AS (SELECT v, max(n) AS level FROM depth GROUP BY 1),
+  judged AS (SELECT p.*, coalesce(l.level, 0) AS level, refs.u IS NOT NULL AS found, refs.answer,
+    list_sort(p.wrong || CASE WHEN refs.v IS NOT NULL AND refs.u IS NULL THEN ['no call ' || refs.wanted] ELSE CAST([] AS VARCHAR[]) END || CASE WHEN p.cyclic THEN ['cycle'] ELSE CAST([] AS VARCHAR[]) END) AS errors
+    FROM placed p LEFT JOIN levels l USING (v) LEFT JOIN refs ON refs.v = p.v)
+SELECT conv_id, turn, role, anchor, CAST(level AS BIGINT) AS level, CAST(id IS NOT NULL AS BIGINT) AS n_calls, CAST(len(errors) AS BIGINT) AS n_errors, CASE WHEN answer THEN found END AS linked,
+  '{' || concat_ws(',', '"content":' || CAST(to_json(content) AS VARCHAR), '"conv_id":' || conv_id, CASE WHEN len(errors) > 0 THEN '"errors":' || CAST(to_json(errors) AS VARCHAR) END, '"role":"' || role || '"',
+    '"tool_call_id":' || CAST(to_json(tool_call_id) AS VARCHAR),
+    CASE WHEN id IS NOT NULL THEN '"tool_calls":[{' || concat_ws(',', '"arguments":' || CAST(to_json(args) AS VARCHAR), '"depends_on":["' || need || '"]', '"id":"' || id || '"', '"name":"' || name || '"') || '}]' END,
+    '"turn":' || turn) || '}' AS json
+FROM judged"""

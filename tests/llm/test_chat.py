@@ -1,4 +1,6 @@
 import json
+import random
+from collections import Counter, defaultdict
 
 import duckdb
 import pytest
@@ -63,13 +65,70 @@ def test_canonical_json(chats):
     assert json.loads(by[6, 0])["content"] == "no json"
 
 
-def test_plain_table_equals_sql(spark, sf_dir):
+def test_query_equals_sql(spark, sf_dir):
     con = duckdb.connect()
     con.execute(f"CREATE VIEW conversations AS SELECT * FROM '{sf_dir}/conversations.parquet'")
     found = con.execute(chat_format.SQL)
     columns = [c[0] for c in found.description]
-    got = chat_format.query(spark, sf_dir).select(*columns)
-    assert sorted(map(tuple, got.collect())) == sorted(found.fetchall())
+    got = chat_format.query(spark, sf_dir).select(*columns).collect()
+    assert sorted(map(str, map(tuple, got))) == sorted(map(str, found.fetchall()))
+    assert {True, False, None} == {r.linked for r in got} and {0, 1} == {r.level for r in got} and any('"cycle"' in r.json for r in got)
+    assert any(w in r.json for r in got for w in ("missing query", "limit is no integer"))
+
+
+def slow_links(rows):
+    """(conv, turn, role, body) rows to (anchor, level, number of errors, linked) by loops; places of cycles stay as given."""
+    out = []
+    for conv in {r[0] for r in rows}:
+        own = [r for r in rows if r[0] == conv]
+        first, repeats = {}, Counter()
+        for k, (_, turn, _, body) in sorted(enumerate(own), key=lambda x: x[1][1]):
+            for c in body.get("tool_calls", []):
+                if c["id"] is not None and first.setdefault(c["id"], k) != k:
+                    repeats[k] += 1
+        refs, errors, linked = defaultdict(set), Counter(repeats), {}
+        for k, (_, _, role, body) in enumerate(own):
+            wanted = [i for c in body.get("tool_calls", []) for i in c["depends_on"]]
+            errors[k] += sum(c["id"] is None for c in body.get("tool_calls", []))
+            if role == "tool":
+                wanted.append(body.get("tool_call_id"))
+                linked[k] = wanted[-1] in first
+            for i in wanted:
+                if i not in first:
+                    errors[k] += 1
+                elif first[i] != k:
+                    refs[k].add(first[i])
+        place = {}
+        while True:
+            fresh = {}
+            for k, (_, turn, _, _) in enumerate(own):
+                if k not in place and all(u in place for u in refs[k]):
+                    top = max([place[u] for u in refs[k]], default=(turn - 1, 0))
+                    fresh[k] = (turn, 0) if turn > top[0] else (top[0], top[1] + 1)
+            if not fresh:
+                break
+            place |= fresh
+        for k, (_, turn, role, _) in enumerate(own):
+            out.append((conv, turn, role, *place.get(k, (turn, 0)), errors[k] + (k not in place), linked.get(k)))
+    return Counter(out)
+
+
+def test_random_links_equal_loops(spark):
+    rnd, rows = random.Random(3), []
+    for conv in range(60):
+        turns = rnd.sample(range(40), 10)
+        ids = [f"c{k}" for k in range(6)]
+        for turn in turns:
+            if rnd.random() < 0.6:
+                calls = [{"id": rnd.choice([*ids, *ids, None]), "name": "add", "arguments": {"a": 1, "b": 2}, "depends_on": rnd.sample([*ids, "gone"], rnd.choice([0, 0, 1, 2]))} for _ in range(rnd.choice([1, 1, 2]))]
+                ids_here = [c["id"] for c in calls]
+                if len(set(ids_here)) == len(ids_here):
+                    rows.append((conv, turn, "assistant", {"content": "x", "tool_calls": calls}))
+            else:
+                rows.append((conv, turn, "tool", {"content": "r", "tool_call_id": rnd.choice([*ids, "gone"])}))
+    df = spark.createDataFrame([(c, t, r, json.dumps(b)) for c, t, r, b in rows], "conv_id long, turn long, role string, text string")
+    got = Counter((r.conv_id, r.turn, r.role, r.anchor, r.level, r.n_errors, r.linked) for r in chat_format.format_chats(df, SCHEMAS).collect())
+    assert got == slow_links(rows)
 
 
 def test_no_messages(chats):
