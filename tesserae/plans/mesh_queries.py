@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tesserae.operators import mesh, spatial, stencil
+from tesserae.operators import mesh, quality, spatial, stencil
 from tesserae.plans.field_queries import rounded
 from tesserae.plans.registry import Registry, table
 
@@ -180,41 +180,21 @@ TRIANGLE_SQL = {
 def _quality(metric: str) -> None:
     @R.add(f"quality_triangle_{metric}", f"{SHEET} SELECT cell, round({TRIANGLE_SQL[metric]}, 5) AS quality FROM m")
     def run(spark, d):
-        return rounded(mesh.quality(triangles(spark), sheet_points(spark), metric), 5)
+        return rounded(quality.quality(triangles(spark), sheet_points(spark), metric), 5)
 
 
 for _metric in TRIANGLE_SQL:
     _quality(_metric)
 
 
-def _quality_rows_only(shape: str, metric: str) -> None:
-    @R.add(f"quality_{shape}_{metric}")
-    def run(spark, d):
-        cells = quads(spark) if shape == "quad" else bricks(spark)
-        points = sheet_points(spark) if shape == "quad" else brick_points(spark)
-        if shape == "tetra":
-            cells = mesh.tetrahedralize(cells).select(F.monotonically_increasing_id().alias("cell"), F.lit("tetra").alias("shape"), F.array("a", "b", "c", "d").alias("conn"))
-        return rounded(mesh.quality(cells, points, metric), 5)
-
-
 @R.add("relative_size_squared", f"{SHEET}, r AS (SELECT cell, area / avg(area) OVER () AS r FROM m) SELECT cell, round(pow(least(r, 1 / r), 2), 5) AS quality FROM r")
 def relative_size_squared(spark, d):
-    return rounded(mesh.relative_size_squared(triangles(spark), sheet_points(spark)), 5)
+    return rounded(quality.relative_size_squared(triangles(spark), sheet_points(spark)), 5)
 
 
 @R.add("quality_triangle_shape_and_size", f"{SHEET}, r AS (SELECT cell, area / avg(area) OVER () AS r, {TRIANGLE_SQL['shape']} AS shape FROM m) SELECT cell, round(shape * pow(least(r, 1 / r), 2), 5) AS quality FROM r")
 def quality_triangle_shape_and_size(spark, d):
-    return rounded(mesh.shape_and_size(triangles(spark), sheet_points(spark)), 5)
-
-
-@R.add("quality_quad_diagonal_ratio", f"""{SHEET}, d AS (SELECT q, sqrt(pow(c.x-a.x,2)+pow(c.y-a.y,2)+pow(c.z-a.z,2)) AS u, sqrt(pow(e.x-b.x,2)+pow(e.y-b.y,2)+pow(e.z-b.z,2)) AS w FROM k JOIN v a ON a.id = k.a JOIN v b ON b.id = k.a + 1 JOIN v c ON c.id = k.a + {NX + 1} JOIN v e ON e.id = k.a + {NX})
-  SELECT q AS cell, round(least(u, w) / greatest(u, w), 5) AS quality FROM d""")
-def quality_quad_diagonal_ratio(spark, d):
-    return rounded(mesh.quality(quads(spark), sheet_points(spark), "diagonal_ratio"), 5)
-
-
-for _metric in ("area", "aspect_ratio", "condition", "jacobian", "scaled_jacobian", "shape", "shear", "skew", "taper", "stretch", "warpage", "oddy", "max_angle", "min_angle"):
-    _quality_rows_only("quad", _metric)
+    return rounded(quality.shape_and_size(triangles(spark), sheet_points(spark)), 5)
 
 
 @R.add("cell_measures", f"{SHEET} SELECT cell, round(area, 5) AS measure FROM m")
@@ -294,10 +274,153 @@ def tetrahedralize_count(spark, d):
     return mesh.tetrahedralize(bricks(spark)).groupBy("cell").agg(F.count("*").alias("tetras"))
 
 
-for _metric in ("volume", "aspect_gamma", "aspect_ratio", "jacobian", "scaled_jacobian", "condition", "shape"):
-    _quality_rows_only("tetra", _metric)
-for _metric in ("volume", "diagonal_ratio", "stretch", "skew", "max_diagonal", "min_diagonal", "jacobian", "scaled_jacobian", "shear", "shape", "condition", "oddy", "taper"):
-    _quality_rows_only("hexahedron", _metric)
+def sub(a: str, b: str) -> str:
+    return f"array_value({a}[1]-{b}[1], {a}[2]-{b}[2], {a}[3]-{b}[3])"
+
+
+def add(*v: str) -> str:
+    return "array_value(" + ", ".join("+".join(f"{x}[{k}]" for x in v) for k in (1, 2, 3)) + ")"
+
+
+def inner(a: str, b: str) -> str:
+    return f"array_inner_product({a}, {b})"
+
+
+def size(a: str) -> str:
+    return f"sqrt(array_inner_product({a}, {a}))"
+
+
+def over(a: str, b: str) -> str:
+    return f"array_cross_product({a}, {b})"
+
+
+def at(ids: list[str]) -> str:
+    """Joins the points under ids as p0, p1 and so on."""
+    return ", ".join(f"array_value(v{k}.x, v{k}.y, v{k}.z) AS p{k}" for k in range(len(ids))) + " FROM k " + " ".join(f"JOIN v v{k} ON v{k}.id = {x}" for k, x in enumerate(ids))
+
+
+def folded_quads(spark):
+    """quads(), but each seventh is an arrowhead."""
+    i, j, a = F.col("cell") % (NX - 1), F.floor(F.col("cell") / (NX - 1)), F.get("conn", F.lit(0))
+    head = F.array(a, a + NX + 2, a + NX + 1, a + 2 * NX + 1)
+    return quads(spark).withColumn("conn", F.when((F.col("cell") % 7 == 3) & (i < NX - 2) & (j < NY - 2), head).otherwise(F.col("conn")))
+
+
+_HEAD = f"q % 7 = 3 AND q % {NX - 1} < {NX - 2} AND q // {NX - 1} < {NY - 2}"
+QUAD = (
+    SHEET
+    + f", c AS (SELECT q AS cell, {at(['k.a', f'k.a + CASE WHEN {_HEAD} THEN {NX + 2} ELSE 1 END', f'k.a + {NX + 1}', f'k.a + CASE WHEN {_HEAD} THEN {2 * NX + 1} ELSE {NX} END'])}),"
+    + f" g AS (SELECT *, [{sub('p0', 'p3')}, {sub('p1', 'p0')}, {sub('p2', 'p1')}, {sub('p3', 'p2')}] AS e, {add(sub('p1', 'p0'), sub('p2', 'p3'))} AS x1, {add(sub('p2', 'p1'), sub('p3', 'p0'))} AS x2 FROM c),"
+    + f" h AS (SELECT *, unnest([1, 2, 3, 4]) AS n, {over('x1', 'x2')} AS m FROM g),"
+    + f" f AS (SELECT *, e[n] AS u, e[n % 4 + 1] AS w, {inner(over('e[n]', 'e[n % 4 + 1]'), 'm')} / {size('m')} AS alpha FROM h)"
+)
+_SQUARES = f"({inner('u', 'u')} + {inner('w', 'w')})"
+_NORMAL = f"({over('u', 'w')})"
+_WARP = [f"{inner(over(a, b), over(c, d))} / ({size(over(a, b))} * {size(over(c, d))})" for a, b, c, d in (("e[1]", "e[2]", "e[3]", "e[4]"), ("e[2]", "e[3]", "e[4]", "e[1]"))]
+_DIAGONALS = [size(sub("p2", "p0")), size(sub("p3", "p1"))]
+QUAD_SQL = {
+    "area": "sum(alpha) / 4", "jacobian": "min(alpha)", "scaled_jacobian": f"min(alpha / ({size('u')} * {size('w')}))", "shear": f"min(alpha / ({size('u')} * {size('w')}))",
+    "condition": f"max({_SQUARES} / alpha) / 2", "shape": f"2 * min(alpha / {_SQUARES})", "aspect_ratio": f"max(greatest({size('x1')} / {size('x2')}, {size('x2')} / {size('x1')}))",
+    "skew": f"max(abs({inner('x1', 'x2')}) / ({size('x1')} * {size('x2')}))", "taper": f"max({size(add(sub('p0', 'p1'), sub('p2', 'p3')))} / least({size('x1')}, {size('x2')}))",
+    "stretch": f"sqrt(2) * min({size('u')}) / max(greatest({', '.join(_DIAGONALS)}))", "diagonal_ratio": f"max(least({', '.join(_DIAGONALS)}) / greatest({', '.join(_DIAGONALS)}))",
+    "warpage": f"min(pow(least({', '.join(_WARP)}), 3))", "oddy": f"max((pow({inner('u', 'u')} - {inner('w', 'w')}, 2) + 4 * pow({inner('u', 'w')}, 2)) / (2 * {inner(_NORMAL, _NORMAL)}))",
+    "max_angle": f"max(degrees(acos(-{inner('u', 'w')} / ({size('u')} * {size('w')}))))", "min_angle": f"min(degrees(acos(-{inner('u', 'w')} / ({size('u')} * {size('w')}))))",
+}
+
+
+def turned_bricks(spark):
+    """bricks(), but each seventh is inside out."""
+    return bricks(spark).withColumn("conn", F.when(F.col("cell") % 7 == 3, F.concat(F.slice("conn", 5, 4), F.slice("conn", 1, 4))).otherwise(F.col("conn")))
+
+
+def turned_tetras(spark):
+    """The first corner of each brick; each seventh is inside out."""
+    p = lambda k: F.get("conn", F.lit(k))
+    turned = F.col("cell") % 7 == 3
+    return bricks(spark).select("cell", F.lit("tetra").alias("shape"), F.array(F.when(turned, p(1)).otherwise(p(0)), F.when(turned, p(0)).otherwise(p(1)), p(3), p(4)).alias("conn"))
+
+
+_STEPS = [0, 1, BX + 1, BX, BX**2, BX**2 + 1, BX**2 + BX + 1, BX**2 + BX]
+_BLOCK = (
+    BRICK.split(",\n  o AS")[0]
+    + f", b AS (SELECT range AS id, CAST(range % {BX} AS DOUBLE) AS x, CAST(range // {BX} % {BX} AS DOUBLE) AS y, CAST(range // {BX**2} AS DOUBLE) AS z FROM range({BX**3})), v AS (SELECT id, x + 0.1 * y AS x, y + 0.05 * z AS y, z + 0.02 * x * y AS z FROM b)"
+)
+_TURNED = [f"k.a + CASE WHEN cell % 7 = 3 THEN {_STEPS[(k + 4) % 8]} ELSE {_STEPS[k]} END" for k in range(8)]
+_HEX_AXES = [add(*(sub(f"p{a}", f"p{b}") for a, b in pairs)) for pairs in (((1, 0), (2, 3), (5, 4), (6, 7)), ((3, 0), (2, 1), (7, 4), (6, 5)), ((4, 0), (5, 1), (6, 2), (7, 3)))]
+_ENDS = "(0, 1, 3, 4), (1, 2, 0, 5), (2, 3, 1, 6), (3, 0, 2, 7), (4, 7, 5, 0), (5, 4, 6, 1), (6, 5, 7, 2), (7, 6, 4, 3)"
+HEX = (
+    _BLOCK
+    + f", c AS (SELECT cell, {at(_TURNED)}), g AS (SELECT *, [p0, p1, p2, p3, p4, p5, p6, p7] AS p, {_HEX_AXES[0]} AS x1, {_HEX_AXES[1]} AS x2, {_HEX_AXES[2]} AS x3 FROM c), n AS (SELECT * FROM (VALUES {_ENDS}) t(o, i, j, l)),"
+    + f" fr AS (SELECT g.*, o, {sub('p[i+1]', 'p[o+1]')} AS r, {sub('p[j+1]', 'p[o+1]')} AS s, {sub('p[l+1]', 'p[o+1]')} AS t FROM g, n UNION ALL SELECT g.*, 8, array_value(x1[1]/4, x1[2]/4, x1[3]/4), array_value(x2[1]/4, x2[2]/4, x2[3]/4), array_value(x3[1]/4, x3[2]/4, x3[3]/4) FROM g),"
+    + f" f AS (SELECT *, {inner(over('r', 's'), 't')} AS det, {inner('r', 'r')} + {inner('s', 's')} + {inner('t', 't')} AS sq, {' + '.join(inner(over(a, b), over(a, b)) for a, b in ('rs', 'st', 'tr'))} AS ms FROM fr)"
+)
+_LONG = [size(f"x{k}") for k in (1, 2, 3)]
+_BODY = [size(sub(f"p{b}", f"p{a}")) for a, b in ((0, 6), (1, 7), (2, 4), (3, 5))]
+_UNLIKE = f"(pow({inner('r', 'r')}, 2) + pow({inner('s', 's')}, 2) + pow({inner('t', 't')}, 2) + 2 * (pow({inner('r', 's')}, 2) + pow({inner('s', 't')}, 2) + pow({inner('r', 't')}, 2)) - sq * sq / 3)"
+_OTHER = [add(*(sub(f"p{a}", f"p{b}") for a, b in pairs)) for pairs in (((0, 1), (2, 3), (4, 5), (6, 7)), ((0, 1), (3, 2), (5, 4), (6, 7)), ((0, 3), (1, 2), (6, 5), (7, 4)))]
+HEX_SQL = {
+    "jacobian": "min(det)", "scaled_jacobian": f"min(det / ({size('r')} * {size('s')} * {size('t')}))", "shear": f"min(det / ({size('r')} * {size('s')} * {size('t')})) FILTER (o < 8)",
+    "shape": "CASE WHEN min(det) <= 0 THEN 0 ELSE min(3 * pow(greatest(det, 0), 2.0 / 3) / sq) END",
+    "condition": "CASE WHEN min(det) FILTER (o < 8) <= 0 THEN CAST('inf' AS DOUBLE) ELSE max(sqrt(sq * ms) / (3 * det)) FILTER (o < 8) END",
+    "oddy": f"CASE WHEN min(det) <= 0 THEN CAST('inf' AS DOUBLE) ELSE max({_UNLIKE} / pow(abs(det), 4.0 / 3)) END",
+    "aspect_ratio": f"max(greatest({', '.join(_LONG)}) / least({', '.join(_LONG)}))",
+    "taper": f"max(greatest({', '.join(f'{size(x)} / least({_LONG[a]}, {_LONG[b]})' for x, (a, b) in zip(_OTHER, ((0, 1), (0, 2), (1, 2))))}))",
+    "skew": f"max(greatest({', '.join(f'abs({inner(f"x{a}", f"x{b}")}) / ({size(f"x{a}")} * {size(f"x{b}")})' for a, b in ((1, 2), (2, 3), (3, 1)))}))",
+    "stretch": f"sqrt(3) * min(least({size('r')}, {size('s')}, {size('t')})) FILTER (o < 8) / max(greatest({', '.join(_BODY)}))",
+    "diagonal_ratio": f"max(least({', '.join(_BODY)}) / greatest({', '.join(_BODY)}))", "max_diagonal": f"max(greatest({', '.join(_BODY)}))", "min_diagonal": f"max(least({', '.join(_BODY)}))",
+}
+TETRA = (
+    _BLOCK
+    + f", c AS (SELECT cell, {at(['k.a + CASE WHEN cell % 7 = 3 THEN 1 ELSE 0 END', 'k.a + CASE WHEN cell % 7 = 3 THEN 0 ELSE 1 END', f'k.a + {BX}', f'k.a + {BX**2}'])}),"
+    + f" g AS (SELECT *, {sub('p1', 'p0')} AS u, {sub('p2', 'p0')} AS w, {sub('p3', 'p0')} AS z, {sub('p2', 'p1')} AS d, {sub('p3', 'p1')} AS e, {sub('p3', 'p2')} AS q FROM c),"
+    + f" h AS (SELECT *, {inner(over('u', 'w'), 'z')} AS det, {size('u')} AS lu, {size('w')} AS lw, {size('z')} AS lz, {size('d')} AS ld, {size('e')} AS le, {size('q')} AS lq,"
+    + " array_value((2*w[1]-u[1])/sqrt(3), (2*w[2]-u[2])/sqrt(3), (2*w[3]-u[3])/sqrt(3)) AS s, array_value((3*z[1]-w[1]-u[1])/sqrt(6), (3*z[2]-w[2]-u[2])/sqrt(6), (3*z[3]-w[3]-u[3])/sqrt(6)) AS t FROM g),"
+    + f" f AS (SELECT *, {inner(over('u', 's'), 't')} AS own, {inner('u', 'u')} + {inner('s', 's')} + {inner('t', 't')} AS sq, {' + '.join(inner(over(a, b), over(a, b)) for a, b in ('us', 'st', 'tu'))} AS ms FROM h)"
+)
+_LENGTHS = "lu, lw, lz, ld, le, lq"
+TETRA_SQL = {
+    "volume": "det / 6", "jacobian": "det", "aspect_gamma": "pow((lu*lu + lw*lw + lz*lz + ld*ld + le*le + lq*lq) / 6, 1.5) * sqrt(2) / (12 * abs(det / 6))",
+    "aspect_ratio": f"greatest({_LENGTHS}) * ({size(over('u', 'w'))} + {size(over('u', 'z'))} + {size(over('w', 'z'))} + {size(over('d', 'e'))}) / 2 / (sqrt(6) * abs(det))",
+    "scaled_jacobian": "sqrt(2) * det / greatest(lu * lw * lz, lu * ld * le, lw * ld * lq, lz * le * lq, det)",
+    "condition": "CASE WHEN own <= 0 THEN CAST('inf' AS DOUBLE) ELSE sqrt(sq * ms) / (3 * own) END", "shape": "CASE WHEN own <= 0 THEN 0 ELSE 3 * pow(greatest(own, 0), 2.0 / 3) / sq END",
+}
+
+
+def _quality_of(shape: str, metric: str, sql: str, cells, points) -> None:
+    @R.add(f"quality_{shape}_{metric}", sql)
+    def run(spark, d):
+        return rounded(quality.quality(cells(spark), points(spark), metric), 5)
+
+
+for _metric, _sql in QUAD_SQL.items():
+    _quality_of("quad", _metric, f"{QUAD} SELECT cell, round({_sql}, 5) AS quality FROM f GROUP BY cell", folded_quads, sheet_points)
+for _metric, _sql in HEX_SQL.items():
+    _quality_of("hexahedron", _metric, f"{HEX} SELECT cell, round({_sql}, 5) AS quality FROM f GROUP BY cell", turned_bricks, brick_points)
+for _metric, _sql in TETRA_SQL.items():
+    _quality_of("tetra", _metric, f"{TETRA} SELECT cell, round({_sql}, 5) AS quality FROM f", turned_tetras, brick_points)
+#: The volume of a trilinear brick from three-point Gauss rules, and its gradient by the corners likewise.
+_SHAPE = [f"({'x' if c[0] else '(1-x)'})*({'y' if c[1] else '(1-y)'})*({'w' if c[2] else '(1-w)'})" for c in mesh.CUBE]
+_SLOPES = [[("" if c[k] else "-") + "*".join([("1" if m == k else (n if c[m] else f"(1-{n})")) for m, n in enumerate("xyw")]) for c in mesh.CUBE] for k in range(3)]
+_JAC = ["array_value(" + ", ".join("+".join(f"({sl})*p{k}[{m}]" for k, sl in enumerate(_SLOPES[axis])) for m in (1, 2, 3)) + ")" for axis in range(3)]
+_DIM = (
+    HEX.split(", g AS")[0]
+    + ", ga AS (SELECT * FROM (VALUES (0.5 - sqrt(0.15), 5.0/18), (0.5, 8.0/18), (0.5 + sqrt(0.15), 5.0/18)) t(x, wt)),"
+    + f" pt AS (SELECT c.*, a.x AS x, b.x AS y, d.x AS w, a.wt * b.wt * d.wt AS wt FROM c, ga a, ga b, ga d), jj AS (SELECT *, {_JAC[0]} AS j1, {_JAC[1]} AS j2, {_JAC[2]} AS j3 FROM pt),"
+    + f" vol AS (SELECT cell, sum(wt * {inner(over('j1', 'j2'), 'j3')}) AS volume FROM jj GROUP BY 1),"
+    + " slopes AS (" + " UNION ALL ".join(f"SELECT cell, {k} AS corner, unnest([1, 2, 3]) AS m, wt, j1, j2, j3, {_SLOPES[0][k]} AS d1, {_SLOPES[1][k]} AS d2, {_SLOPES[2][k]} AS d3 FROM jj" for k in range(8)) + "),"
+    + f" gr AS (SELECT cell, corner, m, sum(wt * (d1 * {over('j2', 'j3')}[m] + d2 * {over('j3', 'j1')}[m] + d3 * {over('j1', 'j2')}[m])) AS b FROM slopes GROUP BY 1, 2, 3)"
+)
+_quality_of("hexahedron", "dimension", f"{_DIM} SELECT cell, round(any_value(sqrt(0.5 * volume * volume)) / sqrt(sum(b * b)), 5) AS quality FROM gr JOIN vol USING (cell) GROUP BY cell", turned_bricks, brick_points)
+
+
+@R.add("quality_hexahedron_volume", f"{_BLOCK}, c AS (SELECT cell, {at(_TURNED)}), t AS (SELECT cell, unnest([" + ", ".join(f"{inner(over(sub(f'p{b}', f'p{a}'), sub(f'p{c}', f'p{a}')), sub(f'p{d}', f'p{a}'))}" for a, b, c, d in mesh.five_tetras(0)) + "]) / 6 AS v FROM c) SELECT cell, round(sum(v), 5) AS quality FROM t GROUP BY cell")
+def quality_hexahedron_volume(spark, d):
+    return rounded(quality.quality(turned_bricks(spark), brick_points(spark), "volume"), 5)
+
+
+@R.add("total_measure", f"{SHEET} SELECT round(sum(area), 5) AS total, round(avg(area), 5) AS average FROM m")
+def total_measure(spark, d):
+    return rounded(quality.total_measure(triangles(spark), sheet_points(spark)), 5)
 
 
 @R.add("surface_normals")

@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tesserae.operators import density, extraction, flow, graph, mesh, primitives, statistics
+from tesserae.operators import density, extraction, flow, graph, mesh, primitives, quality, statistics
 from tesserae.sources import fields, images, mesh_text
 
 
@@ -70,17 +70,47 @@ def test_unit_shapes(spark):
     assert {r.cell: round(r.m, 9) for r in rows} == {0: 1.0, 1: 1.0, 2: 0.5, 3: round(1 / 6, 9), 4: round(math.sqrt(3), 9)}
     ideal = {"area": 1, "aspect_ratio": 1, "condition": 1, "jacobian": 1, "scaled_jacobian": 1, "shape": 1, "shear": 1, "skew": 0, "taper": 0, "stretch": 1, "warpage": 1, "oddy": 0, "max_angle": 90, "min_angle": 90, "diagonal_ratio": 1}
     for metric, want in ideal.items():
-        assert math.isclose(mesh.quality(cells.where("cell = 1"), points, metric).first().quality, want, abs_tol=1e-9), metric
-    assert mesh.quality(cells.where("cell = 0"), points, "oddy").first().quality == -1
-    for metric, want in {"volume": 1, "diagonal_ratio": 1, "stretch": 1, "skew": 0, "max_diagonal": math.sqrt(3), "jacobian": 1, "scaled_jacobian": 1, "shear": 1, "shape": 1, "condition": 1, "oddy": 0, "taper": 0}.items():
-        assert math.isclose(mesh.quality(cells.where("cell = 0"), points, metric).first().quality, want, abs_tol=1e-9), metric
+        assert math.isclose(quality.quality(cells.where("cell = 1"), points, metric).first().quality, want, abs_tol=1e-9), metric
+    assert quality.quality(cells.where("cell = 4"), points, "oddy").first().quality == -1
+    for metric, want in {"volume": 1, "diagonal_ratio": 1, "stretch": 1, "skew": 0, "max_diagonal": math.sqrt(3), "jacobian": 1, "scaled_jacobian": 1, "shear": 1, "shape": 1, "condition": 1, "oddy": 0, "taper": 0, "aspect_ratio": 1, "dimension": 1 / math.sqrt(3)}.items():
+        assert math.isclose(quality.quality(cells.where("cell = 0"), points, metric).first().quality, want, abs_tol=1e-9), metric
     regular = spark.createDataFrame([(0, 1.0, 1.0, 1.0), (1, 1.0, -1.0, -1.0), (2, -1.0, 1.0, -1.0), (3, -1.0, -1.0, 1.0)], "id long, x double, y double, z double")
     one = spark.createDataFrame([(0, "tetra", [0, 2, 1, 3])], "cell long, shape string, conn array<long>")
     for metric, want in {"scaled_jacobian": 1, "condition": 1, "shape": 1, "aspect_ratio": 1, "aspect_gamma": 1, "volume": 8 / 3, "jacobian": 16}.items():
-        assert math.isclose(abs(mesh.quality(one, regular, metric).first().quality), want, rel_tol=1e-5), metric
+        assert math.isclose(abs(quality.quality(one, regular, metric).first().quality), want, rel_tol=1e-5), metric
     assert mesh.external_faces(cells.where("cell = 0")).count() == 6 and mesh.tetrahedralize(cells.where("cell = 0")).count() == 5
 
 
+def test_bad_cells_have_infinite_metrics(spark):
+    """Inside-out and flat cells."""
+    cube = [(0, 0, 0), (1, 0, 0), (1, 1, 0), (0, 1, 0), (0, 0, 1), (1, 0, 1), (1, 1, 1), (0, 1, 1)]
+    points = spark.createDataFrame([(i, *map(float, p)) for i, p in enumerate(cube)], "id long, x double, y double, z double")
+    turned = [4, 5, 6, 7, 0, 1, 2, 3]
+    rows = [(0, "hexahedron", turned), (1, "hexahedron", [0, 1, 2, 3, 0, 1, 2, 3]), (2, "tetra", [0, 2, 1, 4]), (3, "quad", [0, 1, 1, 0]), (4, "quad", [0, 0, 0, 0]), (5, "hexahedron", [0] * 8), (6, "triangle", [0, 1, 1])]
+    cells = spark.createDataFrame(rows, "cell long, shape string, conn array<long>")
+    got = {m: {r.cell: r.quality for r in quality.quality(cells, points, m).collect()} for m in ("condition", "oddy", "taper", "stretch", "shape", "jacobian", "diagonal_ratio", "aspect_ratio", "skew", "max_angle")}
+    inf = math.inf
+    assert got["condition"][0] == got["condition"][1] == got["condition"][2] == got["condition"][6] == inf
+    assert got["oddy"][0] == got["oddy"][1] == got["oddy"][3] == inf and got["taper"][1] == got["taper"][3] == inf
+    assert got["stretch"][4] == got["stretch"][5] == inf and got["diagonal_ratio"][4] == got["diagonal_ratio"][5] == inf
+    assert got["shape"][0] == got["shape"][1] == got["shape"][2] == 0 and got["jacobian"][0] == -1 and got["jacobian"][2] == -1
+    assert got["aspect_ratio"][1] == got["aspect_ratio"][3] == got["skew"][1] == inf and got["skew"][3] == 0 and got["max_angle"][4] == 0
+
+
+def test_tetrahedra_fill_bricks_and_share_faces(spark):
+    from tesserae.plans import mesh_queries
+
+    bricks = mesh_queries.bricks(spark).withColumn("parity", (F.col("cell") % 4 + F.floor(F.col("cell") / 4) % 4 + F.floor(F.col("cell") / 16)) % 2)
+    tetras = mesh.tetrahedralize(bricks).select(F.monotonically_increasing_id().alias("cell"), F.lit("tetra").alias("shape"), F.array("a", "b", "c", "d").alias("conn")).cache()
+    points = mesh_queries.brick_points(spark)
+    volumes = [r.quality for r in quality.quality(tetras, points, "volume").collect()]
+    assert len(volumes) == 320 and min(volumes) > 0
+    assert mesh.external_faces(tetras).count() == 2 * 6 * 16  # nothing but the outer squares' halves is left open
+    for shape, conn, want in (("wedge", [0, 1, 3, 4, 5, 7], 0.5), ("pyramid", [0, 1, 2, 3, 4], 1 / 3)):
+        cube = spark.createDataFrame([(i, *map(float, p)) for i, p in enumerate(mesh.CUBE)], "id long, x double, y double, z double")
+        assert math.isclose(quality.quality(spark.createDataFrame([(0, shape, conn)], "cell long, shape string, conn array<long>"), cube, "volume").first().quality, want)
+
+
 def test_rotation_stays_on_its_circle(spark):
     grid = fields.uniform_grid(spark, (21, 21)).select("id", (10 - F.col("y")).alias("u"), (F.col("x") - 10).alias("v"), F.lit(0.0).alias("w"))
     field = [flow.field_array(grid, ["u", "v", "w"], (21, 21, 1))]
