@@ -2,23 +2,12 @@
 
 from __future__ import annotations
 
-import tempfile
+import itertools
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tesserae.operators.primitives import scan
-
-
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Rows in the checkpoint folder: spark.checkpoint.dir, which executors share; on a local master one of our own."""
-    context = df.sparkSession.sparkContext
-    if context._jsc.sc().getCheckpointDir().isEmpty():
-        named = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        if named is None and (not context.master.startswith("local") or context.master.startswith("local-cluster")):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        context.setCheckpointDir(named or tempfile.mkdtemp(prefix="tesserae-"))
-    return df.checkpoint(eager=True)
+from tesserae.operators.primitives import cut_lineage, scan
 
 
 def least_labels(nodes: DataFrame, edges: DataFrame, max_rounds: int = 60) -> DataFrame:
@@ -56,16 +45,19 @@ def graph_connectivity(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 
 
 def cell_connectivity(incidence: DataFrame) -> DataFrame:
-    """cell, component of cells that share an edge. incidence: cell, edge. Cells of an edge form a chain, not all pairs."""
-    chain = incidence.distinct().withColumn("b", F.lead("cell").over(Window.partitionBy("edge").orderBy("cell"))).where("b IS NOT NULL")
-    return graph_connectivity(incidence.select(F.col("cell").alias("node")).distinct(), chain.select(F.col("cell").alias("a"), "b")).withColumnRenamed("node", "cell")
+    """cell, component of cells that share an edge. incidence: cell, edge. Cells of an edge are linked to the least of them, not all pairs."""
+    least = incidence.groupBy("edge").agg(F.min("cell").alias("b"))
+    star = incidence.join(least, "edge").where("cell != b").select(F.col("cell").alias("a"), "b")
+    return graph_connectivity(incidence.select(F.col("cell").alias("node")).distinct(), star).withColumnRenamed("node", "cell")
 
 
 def image_connectivity(pixels: DataFrame, value: str) -> DataFrame:
-    """id, component of pixels (i, j, id) of equal value that touch, corners included."""
-    offsets = F.array(*(F.struct(F.lit(a).alias("di"), F.lit(b).alias("dj")) for a, b in ((1, 0), (0, 1), (1, 1), (1, -1))))
-    near = pixels.select(F.col("id").alias("a"), value, "i", "j", F.inline(offsets)).select("a", value, (F.col("i") + F.col("di")).alias("i"), (F.col("j") + F.col("dj")).alias("j"))
-    edges = near.join(pixels.select("i", "j", value, F.col("id").alias("b")), ["i", "j", value]).select("a", "b")
+    """id, component of pixels (i, j, id) or voxels (i, j, k, id) of equal value that touch, corners included."""
+    axes = [c for c in "ijk" if c in pixels.columns]
+    ahead = [o for o in itertools.product((-1, 0, 1), repeat=len(axes)) if o > (0,) * len(axes)]
+    offsets = F.array(*(F.struct(*(F.lit(x).alias(f"d{c}") for c, x in zip(axes, o))) for o in ahead))
+    near = pixels.select(F.col("id").alias("a"), value, *axes, F.inline(offsets)).select("a", value, *((F.col(c) + F.col(f"d{c}")).alias(c) for c in axes))
+    edges = near.join(pixels.select(*axes, value, F.col("id").alias("b")), [*axes, value]).select("a", "b")
     return graph_connectivity(pixels.select(F.col("id").alias("node")), edges).withColumnRenamed("node", "id")
 
 

@@ -286,15 +286,15 @@ def renumber(spark, d):
     return graph.renumber(table(spark, d, "events").select("event_id", "user_id"), "user_id", "label").select("event_id", "label")
 
 
-COMPONENTS = """WITH RECURSIVE e AS (SELECT c_custkey % 40 AS a, c_nationkey + 1000 AS b FROM customer WHERE c_custkey % 3 = 0),
-  s AS (SELECT a, b FROM e UNION SELECT b, a FROM e), n AS (SELECT DISTINCT a AS node FROM s),
-  w AS (SELECT node, node AS r FROM n UNION SELECT w.node, s.b FROM w JOIN s ON w.r = s.a),
-  l AS (SELECT node, min(r) AS label FROM w GROUP BY 1)"""
-
-
-@R.add("graph_connectivity", COMPONENTS + " SELECT node, dense_rank() OVER (ORDER BY label) - 1 AS component FROM l")
+@R.add(
+    "graph_connectivity",
+    """WITH RECURSIVE e AS (SELECT c_custkey AS a, -CAST(c_nationkey AS BIGINT) - 1 AS b FROM customer), s AS (SELECT a, b FROM e UNION SELECT b, a FROM e), n AS (SELECT DISTINCT a AS node FROM s),
+  w AS (SELECT node, node AS r FROM n UNION SELECT w.node, s.b FROM w JOIN s ON w.r = s.a), l AS (SELECT node, min(r) AS label FROM w GROUP BY 1)
+  SELECT node, dense_rank() OVER (ORDER BY label) - 1 AS component FROM l""",
+)
 def graph_connectivity(spark, d):
-    edges = table(spark, d, "customer").where("c_custkey % 3 = 0").select((F.col("c_custkey") % 40).alias("a"), (F.col("c_nationkey") + 1000).cast("long").alias("b"))
+    """All customers and their nations (below 0) as nodes."""
+    edges = table(spark, d, "customer").select(F.col("c_custkey").cast("long").alias("a"), (-F.col("c_nationkey").cast("long") - 1).alias("b"))
     return graph.graph_connectivity(edges.select(F.explode(F.array("a", "b")).alias("node")).distinct(), edges)
 
 
@@ -312,13 +312,22 @@ def image_connectivity(spark, d):
 
 
 @R.add(
-    "cell_connectivity",
-    """WITH RECURSIVE s AS (SELECT DISTINCT a.l_orderkey AS a, b.l_orderkey AS b FROM lineitem a JOIN lineitem b ON a.l_partkey = b.l_partkey AND a.l_suppkey = b.l_suppkey WHERE a.l_orderkey < 400 AND b.l_orderkey < 400),
-  w AS (SELECT DISTINCT a AS cell, a AS r FROM s UNION SELECT w.cell, s.b FROM w JOIN s ON w.r = s.a), l AS (SELECT cell, min(r) AS label FROM w GROUP BY 1)
-  SELECT cell, dense_rank() OVER (ORDER BY label) - 1 AS component FROM l""",
+    "image_connectivity_3d",
+    """WITH RECURSIVE p AS (SELECT range AS id, range % 7 AS i, range // 7 % 6 AS j, range // 42 AS k, (range * 5 + range // 4) % 4 AS v FROM range(210)),
+  s AS (SELECT a.id AS a, b.id AS b FROM p a JOIN p b ON a.v = b.v AND abs(a.i - b.i) <= 1 AND abs(a.j - b.j) <= 1 AND abs(a.k - b.k) <= 1),
+  w AS (SELECT id, id AS r FROM p UNION SELECT w.id, s.b FROM w JOIN s ON w.r = s.a), l AS (SELECT id, min(r) AS label FROM w GROUP BY 1)
+  SELECT id, dense_rank() OVER (ORDER BY label) - 1 AS component FROM l""",
 )
+def image_connectivity_3d(spark, d):
+    i = F.col("id")
+    voxels = spark.range(210).select("id", (i % 7).alias("i"), (F.floor(i / 7) % 6).alias("j"), F.floor(i / 42).alias("k"), ((i * 5 + F.floor(i / 4)) % 4).alias("v"))
+    return graph.image_connectivity(voxels, "v")
+
+
+@R.add("cell_connectivity")
 def cell_connectivity(spark, d):
-    rows = table(spark, d, "lineitem").where("l_orderkey < 400")  # the mesh: orders below 400 as cells, parts of a supplier as edges
+    """All orders as cells, parts of a supplier as edges. Without SQL, as recursion over whole tables is too slow; a test holds it against brute force."""
+    rows = table(spark, d, "lineitem")
     return graph.cell_connectivity(rows.select(F.col("l_orderkey").alias("cell"), F.struct("l_partkey", "l_suppkey").alias("edge")))
 
 
@@ -331,20 +340,3 @@ def pointer_jumping(spark, d):
 @R.add("ranked_window", "SELECT o_orderkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS rank FROM orders")
 def ranked_window(spark, d):
     return table(spark, d, "orders").select("o_orderkey", F.row_number().over(Window.partitionBy("o_custkey").orderBy("o_orderdate", "o_orderkey")).cast("long").alias("rank"))
-
-
-# Without SQL, as recursion over whole tables is too slow; the tests hold them against brute force.
-
-
-@R.add("graph_connectivity_whole")
-def graph_connectivity_whole(spark, d):
-    """All customers and their nations (below 0) as nodes, ids as they are."""
-    edges = table(spark, d, "customer").select(F.col("c_custkey").cast("long").alias("a"), (-F.col("c_nationkey").cast("long") - 1).alias("b"))
-    return graph.graph_connectivity(edges.select(F.explode(F.array("a", "b")).alias("node")).distinct(), edges)
-
-
-@R.add("cell_connectivity_whole")
-def cell_connectivity_whole(spark, d):
-    """All orders as cells, parts of a supplier as edges."""
-    rows = table(spark, d, "lineitem")
-    return graph.cell_connectivity(rows.select(F.col("l_orderkey").alias("cell"), F.struct("l_partkey", "l_suppkey").alias("edge")))

@@ -31,6 +31,31 @@ def test_runs_keep_repeated_keys_apart(spark):
     assert [(r.k, r.total) for r in got] == [(0, 10), (1, 2), (4, 0), (0, 3), (2, 10), (-1, -42)]
 
 
+@pytest.mark.parametrize("ranges", [1, 2, 97, 300])
+def test_many_ranges(spark, monkeypatch, ranges):
+    """Runs, scans and searches don't depend on the number of ranges, nor on ties or null keys at their ends."""
+    monkeypatch.setattr(primitives, "n_ranges", lambda df: ranges)
+    rng = np.random.default_rng(ranges)
+    keys = [None if k == 3 else int(k) for k in rng.integers(0, 4, 500)]
+    df = spark.createDataFrame([(i, k, 1) for i, k in enumerate(keys)], "i long, k long, v long").repartition(3)
+    got = [r.run for r in primitives.runs(df, "k", "i").orderBy("i").collect()]
+    want = np.cumsum([0] + [int(a != b) for a, b in zip(keys, keys[1:])]).tolist()
+    assert got == want
+    assert [r.scan for r in primitives.scan(df, F.col("v"), "i").orderBy("i").collect()] == list(range(1, 501))
+    by_key = {r.i: r.scan for r in primitives.scan_by_key(df, F.col("v"), "k", "i").collect()}
+    assert all(by_key[i] == sum(x == keys[i] for x in keys[: i + 1]) for i in range(500))
+    big = spark.createDataFrame([(2**53 + k,) for k in range(5)], "x long")
+    found = primitives.bounds_search(big, "x", big.withColumnRenamed("x", "q"), "q")
+    assert sorted((r.q - 2**53, r.position) for r in found.collect()) == [(k, k) for k in range(5)]
+
+
+def test_hot_key_is_cut(spark, monkeypatch):
+    monkeypatch.setattr(primitives, "n_ranges", lambda df: 8)
+    df = spark.range(300_000).select("id", F.when(F.col("id") % 3 == 0, F.col("id")).otherwise(-1).alias("k"))
+    out = primitives.scan_by_key(df, F.lit(1), "k", "id", exclusive=True, initial=10)
+    assert out.where("k = -1").where("scan != 10 + id - floor((id + 2) / 3)").isEmpty() and out.where("k >= 0 AND scan != 10").isEmpty() and out.count() == 300_000
+
+
 @pytest.mark.parametrize("n", [0, 1, 2, 1000])
 def test_scans(spark, n):
     df = spark.range(n).repartition(5)
@@ -176,9 +201,9 @@ def test_connectivity_over_whole_tables(spark, sf_dir):
 
     items = [tuple(map(int, r)) for r in spark.read.parquet(f"{sf_dir}/lineitem.parquet").select("l_orderkey", "l_partkey", "l_suppkey").collect()]
     edges = [(int(c), -int(n) - 1) for c, n in spark.read.parquet(f"{sf_dir}/customer.parquet").select("c_custkey", "c_nationkey").collect()]
-    got = catalog.queries()["graph_connectivity_whole"](spark, sf_dir).collect()
+    got = catalog.queries()["graph_connectivity"](spark, sf_dir).collect()
     assert {int(r.node): r.component for r in got} == brute_components({x for e in edges for x in e}, edges)
     first = {}
     links = [(first.setdefault((p, s), o), o) for o, p, s in items]
-    got = catalog.queries()["cell_connectivity_whole"](spark, sf_dir).collect()
+    got = catalog.queries()["cell_connectivity"](spark, sf_dir).collect()
     assert len(got) > 400 and {int(r.cell): r.component for r in got} == brute_components({o for o, _, _ in items}, links)
