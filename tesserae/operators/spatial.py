@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import itertools
+from collections.abc import Sequence
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
@@ -54,16 +56,19 @@ def locate_in_boxes(points: DataFrame, boxes: DataFrame, axes: list[str], width:
     return p.join(b, [f"b_{a}" for a in axes]).where(inside).select("id", "box")
 
 
-def probe(points: DataFrame, grid: DataFrame, field: str, size: tuple[int, int], origin: tuple[float, float], spacing: tuple[float, float]) -> DataFrame:
-    """Bilinear samples of a point field (i, j) at x, y; points outside have NaN and are marked hidden (2)."""
-    u, v = (F.col("x") - origin[0]) / spacing[0], (F.col("y") - origin[1]) / spacing[1]
-    p = points.select("id", u.alias("u"), v.alias("v")).withColumn("inside", F.col("u").between(0, size[0] - 1) & F.col("v").between(0, size[1] - 1))
-    p = p.withColumn("ci", F.least(F.floor("u"), F.lit(size[0] - 2))).withColumn("cj", F.least(F.floor("v"), F.lit(size[1] - 2)))
-    p = p.withColumn("p", F.col("u") - F.col("ci")).withColumn("q", F.col("v") - F.col("cj"))
-    corner = lambda a, b, w: F.struct((F.col("ci") + a).alias("i"), (F.col("cj") + b).alias("j"), w.alias("w"))
-    pp, q = F.col("p"), F.col("q")
-    corners = p.where("inside").select("id", F.inline(F.array(corner(0, 0, (1 - pp) * (1 - q)), corner(1, 0, pp * (1 - q)), corner(0, 1, (1 - pp) * q), corner(1, 1, pp * q))))
-    values = corners.join(grid.select("i", "j", F.col(field).alias("_f")), ["i", "j"]).groupBy("id").agg(F.sum(F.col("w") * F.col("_f")).alias("_s"))
+def probe(points: DataFrame, grid: DataFrame, field: str, size: Sequence[int], origin: Sequence[float], spacing: Sequence[float]) -> DataFrame:
+    """Linear samples, axis by axis, of a point field (i, j or i, j, k) at x, y (z); points outside have NaN and are marked hidden (2)."""
+    axes = list("ijk"[: len(size)])
+    p = points.select("id", *(((F.col(x) - o) / h).alias(f"u{a}") for a, x, o, h in zip(axes, "xyz", origin, spacing)))
+    p = p.withColumn("inside", reduce(lambda c, x: c & x, (F.col(f"u{a}").between(0, n - 1) for a, n in zip(axes, size))))
+    p = p.withColumns({f"c{a}": F.least(F.floor(f"u{a}"), F.lit(n - 2)) for a, n in zip(axes, size)}).withColumns({f"w{a}": F.col(f"u{a}") - F.col(f"c{a}") for a in axes})
+
+    def corner(at: tuple[int, ...]) -> Column:
+        weight = reduce(lambda s, x: s * x, (F.col(f"w{a}") if up else 1 - F.col(f"w{a}") for a, up in zip(axes, at)))
+        return F.struct(*((F.col(f"c{a}") + up).alias(a) for a, up in zip(axes, at)), weight.alias("w"))
+
+    corners = p.where("inside").select("id", F.inline(F.array(*map(corner, itertools.product((0, 1), repeat=len(axes))))))
+    values = corners.join(grid.select(*axes, F.col(field).alias("_f")), axes).groupBy("id").agg(F.sum(F.col("w") * F.col("_f")).alias("_s"))
     return p.join(values, "id", "left").select("id", F.coalesce("_s", F.lit(float("nan"))).alias(field), F.when(F.col("inside"), 0).otherwise(2).alias("hidden"))
 
 

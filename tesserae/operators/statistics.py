@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import itertools
+import math
+from collections.abc import Sequence
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -83,43 +88,58 @@ def field_range(df: DataFrame, field: str, finite_only: bool = False, mask: Colu
     return df.where(keep).agg(F.min(x).alias("low"), F.max(x).alias("high"))
 
 
-def particle_density(df: DataFrame, x: str, y: str, mass: str | None, dims: tuple[int, int], origin: tuple[float, float], spacing: tuple[float, float], divide: bool = True) -> DataFrame:
-    """Mass (or number) of particles in each cell of a uniform grid; cells without any have 0, particles outside are dropped."""
-    i = F.floor((F.col(x) - origin[0]) / spacing[0])
-    j = F.floor((F.col(y) - origin[1]) / spacing[1])
-    inside = i.between(0, dims[0] - 1) & j.between(0, dims[1] - 1)
+def density_of_cells(df: DataFrame, at: Sequence[str], mass: str | None, dims: Sequence[int], origin: Sequence[float], spacing: Sequence[float], divide: bool = True) -> DataFrame:
+    """Mass (or number) of particles in each cell of a uniform grid of any dimension; cells without any have 0, particles outside are dropped."""
+    index = [F.floor((F.col(c) - o) / h) for c, o, h in zip(at, origin, spacing)]
+    inside = reduce(lambda c, x: c & x, (i.between(0, n - 1) for i, n in zip(index, dims)))
     weight = F.lit(1.0) if mass is None else F.col(mass).cast("double")
-    sums = df.where(inside).groupBy((i + j * dims[0]).cast("long").alias("cell")).agg(F.sum(weight).alias("w"))
-    volume = spacing[0] * spacing[1] if divide else 1.0
-    cells = df.sparkSession.range(dims[0] * dims[1]).select(F.col("id").alias("cell"))
-    return cells.join(sums, "cell", "left").select("cell", (F.coalesce("w", F.lit(0.0)) / volume).alias("density"))
-
-
-def particle_density_cic(df: DataFrame, x: str, y: str, mass: str, dims: tuple[int, int], origin: tuple[float, float], spacing: tuple[float, float]) -> DataFrame:
-    """Each particle spreads over the four corners of its cell; corner (0, 0) gets the product of the parametric coordinates."""
-    u, v = (F.col(x) - origin[0]) / spacing[0], (F.col(y) - origin[1]) / spacing[1]
-    rows = df.select(F.col(mass).cast("double").alias("m"), u.alias("u"), v.alias("v"))
-    rows = rows.where(F.col("u").between(0, dims[0]) & F.col("v").between(0, dims[1]))
-    rows = rows.withColumn("i", F.least(F.floor("u"), F.lit(dims[0] - 1))).withColumn("j", F.least(F.floor("v"), F.lit(dims[1] - 1)))
-    p, q = F.col("u") - F.col("i"), F.col("v") - F.col("j")
-    corner = lambda a, b, w: F.struct((F.col("i") + a + (F.col("j") + b) * (dims[0] + 1)).cast("long").alias("point"), (w * F.col("m")).alias("w"))
-    corners = F.array(corner(0, 0, p * q), corner(1, 0, (1 - p) * q), corner(0, 1, p * (1 - q)), corner(1, 1, (1 - p) * (1 - q)))
-    sums = rows.select(F.inline(corners)).groupBy("point").agg(F.sum("w").alias("w"))
-    points = df.sparkSession.range((dims[0] + 1) * (dims[1] + 1)).select(F.col("id").alias("point"))
-    return points.join(sums, "point", "left").select("point", (F.coalesce("w", F.lit(0.0)) / (spacing[0] * spacing[1])).alias("density"))
+    cell = reduce(lambda s, x: s + x, (i * math.prod(dims[:k]) for k, i in enumerate(index)))
+    sums = df.where(inside).groupBy(cell.cast("long").alias("cell")).agg(F.sum(weight).alias("w"))
+    cells = df.sparkSession.range(math.prod(dims)).select(F.col("id").alias("cell"))
+    return cells.join(sums, "cell", "left").select("cell", (F.coalesce("w", F.lit(0.0)) / (math.prod(spacing) if divide else 1.0)).alias("density"))
+
+
+def density_of_points(df: DataFrame, at: Sequence[str], mass: str, dims: Sequence[int], origin: Sequence[float], spacing: Sequence[float]) -> DataFrame:
+    """Each particle spreads over the corners of its cell; the first corner gets the product of the parametric coordinates."""
+    n = len(dims)
+    rows = df.select(F.col(mass).cast("double").alias("m"), *(((F.col(c) - o) / h).alias(f"u{k}") for k, (c, o, h) in enumerate(zip(at, origin, spacing))))
+    rows = rows.where(reduce(lambda c, x: c & x, (F.col(f"u{k}").between(0, dims[k]) for k in range(n))))
+    rows = rows.withColumns({f"i{k}": F.least(F.floor(f"u{k}"), F.lit(dims[k] - 1)) for k in range(n)})
+
+    def corner(up: tuple[int, ...]) -> Column:
+        point = reduce(lambda s, x: s + x, ((F.col(f"i{k}") + up[k]) * math.prod(d + 1 for d in dims[:k]) for k in range(n)))
+        share = [F.col(f"u{k}") - F.col(f"i{k}") for k in range(n)]
+        return F.struct(point.cast("long").alias("point"), reduce(lambda s, x: s * x, (1 - p if u else p for u, p in zip(up, share)), F.col("m")).alias("w"))
+
+    sums = rows.select(F.inline(F.array(*map(corner, itertools.product((0, 1), repeat=n))))).groupBy("point").agg(F.sum("w").alias("w"))
+    points = df.sparkSession.range(math.prod(d + 1 for d in dims)).select(F.col("id").alias("point"))
+    return points.join(sums, "point", "left").select("point", (F.coalesce("w", F.lit(0.0)) / math.prod(spacing)).alias("density"))
+
+
+def particle_density(df: DataFrame, x: str, y: str, mass: str | None, dims: Sequence[int], origin: Sequence[float], spacing: Sequence[float], divide: bool = True) -> DataFrame:
+    return density_of_cells(df, (x, y), mass, dims, origin, spacing, divide)
+
+
+def particle_density_cic(df: DataFrame, x: str, y: str, mass: str, dims: Sequence[int], origin: Sequence[float], spacing: Sequence[float]) -> DataFrame:
+    return density_of_points(df, (x, y), mass, dims, origin, spacing)
 
 
 def hist_sampling(df: DataFrame, field: str, key: str, fraction: float = 0.1, n_bins: int = 10, seed: int = 0) -> DataFrame:
-    """Importance sampling: bins get equal shares of the sample, the scarcest first; a row is taken if its hash falls below target / count."""
-    bins = histogram(df, field, n_bins)
-    counts = {r["bin"]: r["freq"] for r in bins.collect()}  # n_bins numbers
-    left, targets = fraction * sum(counts.values()), {}
-    for done, (b, n) in enumerate(sorted(counts.items(), key=lambda x: (x[1], x[0]))):
-        targets[b] = min(n, left / (n_bins - done))
-        left -= targets[b]
-    share = F.element_at(F.array(*(F.lit(float(targets[b] / counts[b]) if counts[b] else 0.0) for b in range(n_bins))), (F.col("_bin") + 1).cast("int"))
-    low, high = df.agg(F.min(F.col(field).cast("double")), F.max(F.col(field).cast("double"))).first()
-    low, high = low or 0.0, high or 0.0
+    """Importance sampling: bins get equal shares of the sample, the scarcest first; a row is taken if its hash falls below target / count.
+
+    The targets are a fold over the bins' counts, one row that is broadcast.
+    """
+    rows = histogram(df, field, n_bins).select(F.struct("freq", "bin").alias("b"))
+    sized = rows.agg(F.sort_array(F.collect_list("b")).alias("bins"))  # n_bins structs
+    start = F.struct((fraction * F.aggregate("bins", F.lit(0).cast("long"), lambda a, b: a + b["freq"])).alias("left"), F.array().cast("array<struct<bin: bigint, share: double>>").alias("done"))
+
+    def take(a: Column, b: Column) -> Column:
+        target = F.least(b["freq"].cast("double"), a["left"] / (n_bins - F.size(a["done"])))
+        share = F.when(b["freq"] > 0, target / b["freq"]).otherwise(0.0)
+        return F.struct((a["left"] - target).alias("left"), F.concat(a["done"], F.array(F.struct(b["bin"].cast("long").alias("bin"), share.alias("share")))).alias("done"))
+
+    shares = sized.select(F.transform(F.sort_array(F.aggregate("bins", start, take)["done"]), lambda x: x["share"]).alias("_shares"))
+    limits = df.agg(F.coalesce(F.min(F.col(field).cast("double")), F.lit(0.0)).alias("_low"), F.coalesce(F.max(F.col(field).cast("double")), F.lit(0.0)).alias("_high"))
     u = F.conv(F.substring(F.md5(F.concat_ws("|", F.lit(str(seed)), F.col(key).cast("string")).cast("binary")), 1, 12), 16, 10).cast("double") / float(1 << 48)
-    rows = df.withColumn("_bin", bin_of(F.col(field).cast("double"), F.lit(low), F.lit((high - low) / n_bins), n_bins))
-    return rows.where(u < share).drop("_bin")
+    binned = df.crossJoin(F.broadcast(limits)).crossJoin(F.broadcast(shares)).withColumn("_bin", bin_of(F.col(field).cast("double"), F.col("_low"), (F.col("_high") - F.col("_low")) / n_bins, n_bins))
+    return binned.where(u < F.get("_shares", F.col("_bin").cast("int"))).drop("_bin", "_low", "_high", "_shares")
