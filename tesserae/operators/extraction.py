@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tesserae.operators.primitives import scan
+
 
 def threshold(cells: DataFrame, field: str, low: float, high: float, invert: bool = False) -> DataFrame:
     inside = F.col(field).cast("double").between(low, high)
@@ -39,6 +41,13 @@ def mask(rows: DataFrame, index: str, stride: int, n: int) -> DataFrame:
     return rows.where((F.col(index) % stride == 0) & (F.col(index) < n // stride * stride))
 
 
+def mask_points(points: DataFrame, order: str, stride: int) -> DataFrame:
+    """Every stride-th point in an order column, floor(n / stride) of them, with its place n."""
+    placed = scan(points, F.lit(1), order, out="n").withColumn("n", (F.col("n") - 1).cast("long"))
+    whole = points.agg((F.floor(F.count("*") / stride) * stride).alias("_most"))  # one row
+    return placed.where(F.col("n") % stride == 0).crossJoin(F.broadcast(whole)).where("n < _most").drop("_most")
+
+
 def extract_structured(points: DataFrame, axes: list[str], low: list[int], high: list[int], rate: list[int], include_boundary: bool = False) -> DataFrame:
     """Points of the box [low, high) at every rate-th index of each axis, numbered anew."""
     for a, lo, hi, r in zip(axes, low, high, rate):

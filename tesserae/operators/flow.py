@@ -9,6 +9,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tesserae.operators.mesh import triangle_area
+
 #: Bytes of a field that may be sent to every executor.
 FIELD_BYTES = 256 << 20
 
@@ -103,3 +105,48 @@ def streamlines(seeds: DataFrame, fields: list[np.ndarray], h: float, n: int, or
                 yield pd.DataFrame({"id": b["id"][own], "step": k, "x": p[own, 0], "y": p[own, 1], "z": p[own, 2]})
 
     return seeds.select("id", "x", "y", "z").mapInPandas(run, "id long, step int, x double, y double, z double")
+
+
+def stream_surface(seeds: DataFrame, fields: list[np.ndarray], h: float, n: int, **options) -> DataFrame:
+    """strip, step, half, a, b, c, area: triangles between the streamlines of neighbouring seeds (ids one apart)."""
+    lines = streamlines(seeds, fields, h, n, **options).select("id", "step", F.struct("x", "y", "z").alias("p"))
+    here = lines.select(F.col("id").alias("strip"), "step", F.col("p").alias("p0"))
+    ahead = lines.select(F.col("id").alias("strip"), (F.col("step") - 1).alias("step"), F.col("p").alias("p1"))
+    rows = here.join(ahead, ["strip", "step"])
+    other = rows.select((F.col("strip") - 1).alias("strip"), "step", F.col("p0").alias("q0"), F.col("p1").alias("q1"))
+    halves = F.array(F.struct(F.lit(0).alias("half"), F.col("p0").alias("a"), F.col("q0").alias("b"), F.col("q1").alias("c")), F.struct(F.lit(1).alias("half"), F.col("p0").alias("a"), F.col("q1").alias("b"), F.col("p1").alias("c")))
+    out = rows.join(other, ["strip", "step"]).select("strip", "step", F.inline(halves))
+    corner = lambda c: tuple(F.col(f"{c}.{x}") for x in "xyz")
+    return out.withColumn("area", triangle_area(corner("a"), corner("b"), corner("c")))
+
+
+def push_charged(p: np.ndarray, momentum: np.ndarray, electric: np.ndarray, magnetic: np.ndarray, charge: float, mass: float, h: float, light: float = 299_792_458.0) -> tuple[np.ndarray, np.ndarray]:
+    """New positions and momenta of charged particles after a step in given fields: half an electric kick, a magnetic turn, half a kick (Boris)."""
+    kick = charge * h / 2 * electric
+    low = momentum + kick
+    gamma = np.sqrt(1 + (low * low).sum(axis=1) / (mass * light) ** 2)[:, None]
+    t = charge * h / 2 * magnetic / (gamma * mass)
+    turned = low + np.cross(low, t)
+    low = low + np.cross(turned, 2 * t / (1 + (t * t).sum(axis=1))[:, None])
+    new = low + kick
+    gamma = np.sqrt(1 + (new * new).sum(axis=1) / (mass * light) ** 2)[:, None]
+    return p + h * new / (gamma * mass), new
+
+
+def charged_particles(seeds: DataFrame, electric: list[np.ndarray], magnetic: list[np.ndarray], charge: float, mass: float, h: float, n: int, origin=(0.0, 0.0, 0.0), spacing=(1.0, 1.0, 1.0)) -> DataFrame:
+    """id, step, x, y, z of charged particles (id, x, y, z and momenta px, py, pz) in an electric and a magnetic field on one grid."""
+    shared = seeds.sparkSession.sparkContext.broadcast((electric, magnetic))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        e = _sampler(shared.value[0], origin, spacing, (0.0, 1.0))
+        b = _sampler(shared.value[1], origin, spacing, (0.0, 1.0))
+        for rows in batches:
+            p, m, alive = rows[["x", "y", "z"]].to_numpy(float), rows[["px", "py", "pz"]].to_numpy(float), np.ones(len(rows), bool)
+            for k in range(n + 1):
+                yield pd.DataFrame({"id": rows["id"][alive], "step": k, "x": p[alive, 0], "y": p[alive, 1], "z": p[alive, 2]})
+                (ev, ok), (bv, _) = e(p, k * h), b(p, k * h)
+                alive = alive & ok
+                moved, pushed = push_charged(p, m, ev, bv, charge, mass, h)
+                p, m = np.where(alive[:, None], moved, p), np.where(alive[:, None], pushed, m)
+
+    return seeds.select("id", "x", "y", "z", "px", "py", "pz").mapInPandas(run, "id long, step int, x double, y double, z double")

@@ -9,6 +9,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tesserae.functions.algebra import catmull_rom
 from tesserae.operators.graph import cut_lineage, graph_connectivity
 
 
@@ -72,6 +73,33 @@ def probe(points: DataFrame, grid: DataFrame, field: str, size: Sequence[int], o
     return p.join(values, "id", "left").select("id", F.coalesce("_s", F.lit(float("nan"))).alias(field), F.when(F.col("inside"), 0).otherwise(2).alias("hidden"))
 
 
+def spline(points: DataFrame, grid: DataFrame, field: str, size: Sequence[int], axes_at: Sequence[Sequence[float]] | None = None) -> DataFrame:
+    """Cubic (Catmull-Rom) samples of a point field (i, j, k) at x, y, z, an axis at a time; samples beyond the edge repeat it, points outside are left out.
+
+    Positions are in units of the grid; with axes_at (ascending coordinates of each axis) they are looked up on a rectilinear grid.
+    """
+    p = points.select("id", "x", "y", "z")
+    if axes_at:
+        for c, values in zip("xyz", axes_at):
+            at = F.array(*(F.lit(float(v)) for v in values))
+            k = F.least(F.size(F.filter(at, lambda v: v <= F.col(c))) - 1, F.lit(len(values) - 2))  # noqa: B023
+            p = p.withColumn(f"_{c}", k + (F.col(c) - F.get(at, k)) / (F.get(at, k + 1) - F.get(at, k)))
+        p = p.select("id", *(F.col(f"_{c}").alias(c) for c in "xyz"))
+    p = p.where(reduce(lambda a, b: a & b, (F.col(c).between(0, n - 1) for c, n in zip("xyz", size))))
+    p = p.select("id", *(F.floor(c).alias(f"f{c}") for c in "xyz"), *((F.col(c) - F.floor(c)).alias(f"t{c}") for c in "xyz"))
+    for o in "xyz":
+        p = p.withColumn(f"o{o}", F.explode(F.array(*(F.lit(k) for k in range(4)))))
+    near = [F.greatest(F.lit(0), F.least(F.col(f"f{c}") - 1 + F.col(f"o{c}"), F.lit(n - 1))).alias(a) for c, a, n in zip("xyz", "ijk", size)]
+    rows = p.select("id", "tx", "ty", "tz", "ox", "oy", "oz", *near).join(grid.select("i", "j", "k", F.col(field).cast("double").alias("_f")), ["i", "j", "k"])
+    left = ["x", "y", "z"]
+    for c in "xyz":
+        left.remove(c)
+        keys = ["id", f"t{c}", *(f"t{x}" for x in left), *(f"o{x}" for x in left)]
+        four = rows.groupBy(*keys).agg(*(F.max(F.when(F.col(f"o{c}") == k, F.col("_f"))).alias(f"_{k}") for k in range(4)))
+        rows = four.select("id", *(x for x in keys[2:]), catmull_rom([F.col(f"_{k}") for k in range(4)], F.col(f"t{c}")).alias("_f"))
+    return rows.select("id", F.col("_f").alias(field))
+
+
 def vertex_clusters(points: DataFrame, triangles: DataFrame, low: tuple[float, float], high: tuple[float, float], n: int) -> tuple[DataFrame, DataFrame]:
     """Decimation on an n x n grid: each cluster's middle point (by id) stands for it; triangles that collapse or repeat go."""
     part = lambda c, lo, hi: F.least(F.floor((c - lo) / (hi - lo) * n), F.lit(n - 1))

@@ -26,6 +26,16 @@ def uniform_crossing(cells: DataFrame, points: DataFrame, low: str, high: str, i
     return own.select("cell", (1 - F.col("all") - F.col("none")).alias("crossing"), F.pow(F.lit(2.0), F.col("open")).cast("long").alias("nonzero"), "entropy")
 
 
+def uniform_monte_carlo(cells: DataFrame, points: DataFrame, low: str, high: str, iso: float, draws: int, seed: int = 0) -> DataFrame:
+    """cell, crossing: the share of draws in which a cell's values lie on both sides. A point's draws depend on its id and the seed alone, so cells share them."""
+    u = F.conv(F.substring(F.md5(F.concat_ws("|", F.lit(str(seed)), "id", "draw").cast("binary")), 1, 12), 16, 10).cast("double") / float(1 << 48)
+    drawn = points.select("id", low, high, F.explode(F.sequence(F.lit(0), F.lit(draws - 1))).alias("draw"))
+    drawn = drawn.select("id", "draw", (F.col(low) + (F.col(high) - F.col(low)) * u >= iso).alias("up"))
+    flat = cells.select("cell", F.explode("conn").alias("id")).join(drawn, "id")
+    each = flat.groupBy("cell", "draw").agg((F.bool_or("up") & ~F.bool_and("up")).alias("crossed"))
+    return each.groupBy("cell").agg(F.avg(F.col("crossed").cast("double")).alias("crossing"))
+
+
 def gaussian_below(iso: float, mean: Column, variance: Column) -> Column:
     """Normal distribution function, by the complementary error function's rational approximation (1.2e-7)."""
     z = (iso - mean) / F.sqrt(2 * variance)

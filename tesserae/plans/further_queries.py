@@ -140,7 +140,7 @@ def coordinates_by_plane(spark, d):
 
 @R.add("random_normal")
 def random_normal(spark, d):
-    u = lambda k: (F.pmod(F.xxhash64(F.lit(k), "id"), F.lit(1 << 40)).cast("double") + 0.5) / float(1 << 40)
+    u = lambda k: (F.conv(F.substring(F.md5(F.concat_ws("|", F.lit(str(k)), "id").cast("binary")), 1, 12), 16, 10).cast("double") + 0.5) / float(1 << 48)
     return spark.range(1000).select("id", F.round(F.sqrt(-2 * F.log(u(1))) * F.cos(2 * math.pi * u(2)), 6).alias("normal"))
 
 

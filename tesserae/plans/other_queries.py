@@ -73,9 +73,44 @@ def source_oscillator(spark, d):
     return rounded(fields.oscillator(spark, (8, 8, 8), 0.7, [(0.5, 0.5, 0.5, 0.2, 3.0, 0.0)], [(0.2, 0.3, 0.4, 0.1, 2.0, 0.3)], [(0.8, 0.8, 0.1, 0.3, 1.5, 0.0)]).select("id", "oscillation"), 6)
 
 
-@R.add("source_noise")
+def _noise_sql() -> str:
+    """The eight corners as rows, rather than nested blends."""
+    directions = "[" + ", ".join(f"[{x}, {y}, {z}]" for x, y, z in fields.DIRECTIONS) + "]"
+    fade = lambda t: f"({t}*{t}*{t}*({t}*({t}*6 - 15) + 10))"
+    weight = " * ".join(f"CASE WHEN c{a} = 1 THEN {fade(f't{a}')} ELSE 1 - {fade(f't{a}')} END" for a in "xyz")
+    return f"""WITH g AS (SELECT range AS id, range % 20 AS i, range // 20 % 20 AS j, range // 400 AS k FROM range(1600)), t AS (SELECT *, i // 8 AS bx, j // 8 AS by_, k // 8 AS bz, i % 8 / 8.0 AS tx, j % 8 / 8.0 AS ty, k % 8 / 8.0 AS tz FROM g),
+  c AS (SELECT t.*, a.range AS cx, b.range AS cy, e.range AS cz FROM t, range(2) a, range(2) b, range(2) e),
+  d AS (SELECT *, {directions}[((xor(xor((bx + cx) * 73856093, (by_ + cy) * 19349663), (bz + cz) * 83492791) & 2147483647) // 16) % 12 + 1] AS v FROM c)
+  SELECT id, round(sum({weight} * (v[1] * (tx - cx) + v[2] * (ty - cy) + v[3] * (tz - cz))), 6) + 0.0 AS noise FROM d GROUP BY 1"""
+
+
+@R.add("source_noise", _noise_sql())
 def source_noise(spark, d):
-    return rounded(fields.lattice_noise(spark, (20, 20, 4)).select("id", "noise"), 6)
+    return fields.gradient_noise(spark, (20, 20, 4)).select("id", (F.round("noise", 6) + 0.0).alias("noise"))
+
+
+@R.add("source_curvilinear", "SELECT range AS id, round((1 + range % 6) * cos(range // 6 % 5 * 0.3), 6) AS x, round((1 + range % 6) * sin(range // 6 % 5 * 0.3), 6) AS y, (range // 30) * 0.5 AS z FROM range(90)")
+def source_curvilinear(spark, d):
+    a = F.col("j") * 0.3
+    return rounded(fields.curvilinear_grid(spark, (6, 5, 3), (1 + F.col("i")) * F.cos(a), (1 + F.col("i")) * F.sin(a), F.col("k") * 0.5).select("id", "x", "y", "z"), 6)
+
+
+@R.add("source_explicit", "SELECT o_orderkey AS cell, list(l_partkey ORDER BY n) AS conn FROM orders JOIN (SELECT l_orderkey, l_partkey, row_number() OVER (ORDER BY l_orderkey, l_linenumber, l_partkey, l_suppkey) AS n FROM lineitem) ON l_orderkey = o_orderkey GROUP BY 1")
+def source_explicit(spark, d):
+    """Orders as cells over a flat list of parts."""
+    from pyspark.sql import Window
+
+    items = table(spark, d, "lineitem").join(table(spark, d, "orders").select(F.col("o_orderkey").alias("l_orderkey")), "l_orderkey", "left_semi")
+    place = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey")
+    flat = items.select((F.col("l_orderkey") * 1000 + F.row_number().over(place)).alias("pos"), F.col("l_partkey").alias("id"))
+    counts = items.groupBy("l_orderkey").agg(F.count("*").alias("n")).select(F.col("l_orderkey").alias("cell"), F.lit("polyline").alias("shape"), (F.col("l_orderkey") * 1000 + 1).alias("start"), "n")
+    return fields.explicit_cells(flat, counts).select("cell", "conn")
+
+
+@R.add("source_amr", """WITH l AS (SELECT unnest([0, 1, 2]) AS level), c AS (SELECT level, unnest(range(CASE WHEN level = 0 THEN 1 ELSE 8 END)) AS number FROM l)
+  SELECT CAST(level AS INTEGER) AS level, CAST(number AS INTEGER) AS number, round(0.5 - pow(0.5, level + 1) + CASE WHEN level = 0 THEN 0 ELSE number // 4 * pow(0.5, level) / 2 END, 6) AS lo_x, round(0.5 - pow(0.5, level + 1) + CASE WHEN level = 0 THEN pow(0.5, level) ELSE (number % 2 + 1) * pow(0.5, level) / 2 END, 6) AS hi_z FROM c""")
+def source_amr(spark, d):
+    return rounded(fields.amr_blocks(spark, 3, 8).select("level", "number", "lo_x", "hi_z"), 6)
 
 
 UNCERTAIN = f"""{SHEET}, u AS (SELECT id, f - 5 AS lo, f + 5 + i AS hi FROM v JOIN p USING (id)), w AS (SELECT q AS cell, unnest([a, a + 1, a + {NX + 1}, a + {NX}]) AS id FROM k),

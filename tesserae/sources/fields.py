@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import itertools
 import math
 from collections.abc import Sequence
 
@@ -63,16 +64,54 @@ def oscillator(spark: SparkSession, dims: Sequence[int], time: float, periodic:
     return rows.withColumn("oscillation", value)
 
 
-def lattice_noise(spark: SparkSession, dims: Sequence[int], cell: int = 8, seed: int = 0) -> DataFrame:
-    """Gradient-free value noise: hashed values at every cell-th point, smoothly interpolated between them."""
+#: The middles of a cube's edges.
+DIRECTIONS = [(x, y, 0) for x in (1, -1) for y in (1, -1)] + [(x, 0, z) for x in (1, -1) for z in (1, -1)] + [(0, y, z) for y in (1, -1) for z in (1, -1)]
+
+
+def gradient_noise(spark: SparkSession, dims: Sequence[int], cell: int = 8, seed: int = 0) -> DataFrame:
+    """Perlin noise: a hashed direction at every cell-th point; the products with the offsets from the corners, smoothly interpolated."""
     rows = uniform_grid(spark, dims)
-    u = lambda *k: F.pmod(F.xxhash64(F.lit(seed), *k), F.lit(1 << 30)).cast("double") / (1 << 30)
+    mask = F.lit(0x7FFFFFFF).cast("long")
+
+    def direction(*k: Column) -> list[Column]:
+        mixed = [x.cast("long") * f for x, f in zip((*k, F.lit(seed)), (73856093, 19349663, 83492791, 2654435761))]
+        h = (mixed[0].bitwiseXOR(mixed[1]).bitwiseXOR(mixed[2]).bitwiseXOR(mixed[3])).bitwiseAND(mask)
+        at = (F.floor(h / 16) % len(DIRECTIONS)).cast("int")
+        return [F.get(F.array(*(F.lit(float(d[axis])) for d in DIRECTIONS)), at) for axis in range(3)]
+
     base = [F.floor(F.col(a) / cell) for a in "ijk"]
-    t = [(lambda f: f * f * (3 - 2 * f))(F.col(a) / cell - b) for a, b in zip("ijk", base)]
+    offset = [F.col(a) / cell - b for a, b in zip("ijk", base)]
+    fade = [f * f * f * (f * (f * 6 - 15) + 10) for f in offset]
     value = F.lit(0.0)
-    for di in (0, 1):
-        for dj in (0, 1):
-            for dk in (0, 1):
-                w = (t[0] if di else 1 - t[0]) * (t[1] if dj else 1 - t[1]) * (t[2] if dk else 1 - t[2])
-                value = value + w * u(base[0] + di, base[1] + dj, base[2] + dk)
+    for corner in itertools.product((0, 1), repeat=3):
+        g = direction(*(b + c for b, c in zip(base, corner)))
+        along = sum((x * (o - c) for x, o, c in zip(g[1:], offset[1:], corner[1:])), g[0] * (offset[0] - corner[0]))
+        weight = F.lit(1.0)
+        for t, c in zip(fade, corner):
+            weight = weight * (t if c else 1 - t)
+        value = value + weight * along
     return rows.withColumn("noise", value)
+
+
+def curvilinear_grid(spark: SparkSession, dims: Sequence[int], x: Column, y: Column, z: Column) -> DataFrame:
+    """A structured grid whose coordinates are expressions of i, j, k."""
+    return uniform_grid(spark, dims).select("id", "i", "j", "k", x.alias("x"), y.alias("y"), z.alias("z"))
+
+
+def explicit_cells(flat: DataFrame, counts: DataFrame) -> DataFrame:
+    """cell, shape, conn from a flat connectivity (pos, id) and cells (cell, shape, start, n)."""
+    each = counts.select("cell", "shape", F.posexplode(F.sequence(F.col("start"), F.col("start") + F.col("n") - 1)).alias("k", "pos"))
+    joined = each.join(flat, "pos")
+    return joined.groupBy("cell", "shape").agg(F.transform(F.sort_array(F.collect_list(F.struct("k", "id"))), lambda x: x["id"]).alias("conn"))  # a cell's corners
+
+
+def amr_blocks(spark: SparkSession, levels: int, size: int) -> DataFrame:
+    """block, level, lo_x .. hi_z: nested grids of size cells to a side, each level over the middle half of the one before, in eighths."""
+    rows = []
+    for level in range(levels):
+        low, wide = 0.5 - 0.5 ** (level + 1), 0.5**level
+        parts = 1 if level == 0 else 2
+        for n, corner in enumerate(itertools.product(range(parts), repeat=3)):
+            at = [low + c * wide / parts for c in corner]
+            rows.append((len(rows), level, n, size, *(v for a in at for v in (a, a + wide / parts))))
+    return spark.createDataFrame(rows, "block long, level int, number int, cells int, " + ", ".join(f"lo_{c} double, hi_{c} double" for c in "xyz"))
