@@ -11,21 +11,27 @@ import math
 import tempfile
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: Ranges of an order at most, and rows to a range.
 RANGES, RANGE_ROWS = 65_536, 2_000_000
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Rows in the checkpoint folder: spark.checkpoint.dir, which executors share; on a local master one of our own."""
-    context = df.sparkSession.sparkContext
+def checkpoint_folder(spark: SparkSession) -> str:
+    """spark.checkpoint.dir, which executors share; on a local master a folder of our own."""
+    context = spark.sparkContext
     if context._jsc.sc().getCheckpointDir().isEmpty():
-        named = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        named = spark.conf.get("spark.checkpoint.dir", None)
         if named is None and (not context.master.startswith("local") or context.master.startswith("local-cluster")):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         context.setCheckpointDir(named or tempfile.mkdtemp(prefix="tesserae-"))
+    return context._jsc.sc().getCheckpointDir().get()
+
+
+def cut_lineage(df: DataFrame) -> DataFrame:
+    """The rows written to the checkpoint folder, without lineage."""
+    checkpoint_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 

@@ -144,7 +144,7 @@ _SHARE = "CASE WHEN af >= 60 AND bf >= 60 AND cf >= 60 THEN 1 WHEN af < 60 AND b
 for _one, _two, _three in (("a", "b", "c"), ("b", "c", "a"), ("c", "a", "b")):
     _tip = f"({_one}f - 60) * ({_one}f - 60) / (({_one}f - {_two}f) * ({_one}f - {_three}f))"
     _SHARE += f" WHEN {_one}f >= 60 AND {_two}f < 60 AND {_three}f < 60 THEN {_tip} WHEN {_one}f < 60 AND {_two}f >= 60 AND {_three}f >= 60 THEN 1 - {_tip}"
-R.sql["clip_with_field"] = f"{SHEET} SELECT cell, round(abs((bx-ax)*(cy-ay) - (by_-ay)*(cx-ax)) / 2 * ({_SHARE} END), 6) AS kept FROM s WHERE {_SHARE} END > 0"
+R.sql["clip_with_field"] = f"{SHEET} SELECT cell, round(abs((bx-ax)*(cy-ay) - (by_-ay)*(cx-ax)) / 2 * ({_SHARE} END), 5) AS kept FROM s WHERE {_SHARE} END > 0"
 
 R.sql["surface_normals"] = f"""{SHEET}, n AS (SELECT cell, (by_-ay)*(cz-az)-(bz-az)*(cy-ay) AS x, (bz-az)*(cx-ax)-(bx-ax)*(cz-az) AS y, (bx-ax)*(cy-ay)-(by_-ay)*(cx-ax) AS z FROM s),
   w AS (SELECT unnest([a, b, c]) AS id, x / sqrt(x*x+y*y+z*z) AS x, y / sqrt(x*x+y*y+z*z) AS y, z / sqrt(x*x+y*y+z*z) AS z FROM n JOIN t USING (cell)), g AS (SELECT id, avg(x) AS x, avg(y) AS y, avg(z) AS z FROM w GROUP BY 1)

@@ -223,7 +223,7 @@ def contour(spark, d):
 
 @R.add("clip_with_field")
 def clip_with_field(spark, d):
-    return rounded(mesh.clip_area(triangles(spark), sheet_points(spark), "f", 60.0), 6)
+    return rounded(mesh.clip_area(triangles(spark), sheet_points(spark), "f", 60.0), 5)
 
 
 @R.add("slice_plane", SHEET + """, g AS (SELECT cell, ax, ay, ax + ay - 20.25 AS af, bx, by_, bx + by_ - 20.25 AS bf, cx, cy, cx + cy - 20.25 AS cf FROM s),

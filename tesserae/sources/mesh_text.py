@@ -1,87 +1,135 @@
-"""Legacy mesh text files (ASCII): structured points and unstructured grids, read in parallel by file and written whole."""
+"""Legacy mesh files, ASCII and binary: structured points and grids, rectilinear grids, polygons and unstructured grids; lists of blocks.
+
+Files are read in parallel, a file being the unit of work, and written whole.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
 from pathlib import Path
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 POINTS = "file string, id long, x double, y double, z double, field string, value double"
 CELLS = "file string, cell long, shape int, conn array<long>"
-
-
-def tokens(content: bytes) -> Iterator[str]:
-    text = content.decode("utf-8").split("\n", 2)[2]
-    yield from text.split()
+#: Types of binary values, big-endian.
+KINDS = {
+    "float": ">f4", "double": ">f8", "int": ">i4", "long": ">i8", "short": ">i2", "char": ">i1", "unsigned_char": ">u1", "unsigned_short": ">u2", "unsigned_int": ">u4", "unsigned_long": ">u8",
+    "vtktypeint64": ">i8", "vtkidtype": ">i8",
+}
+
+
+class Cursor:
+    """Words and arrays of a file, one after the other."""
+
+    def __init__(self, content: bytes) -> None:
+        self.content, self.at = content, content.index(b"\n", content.index(b"\n") + 1) + 1
+        self.binary = (self.word() or "").upper() == "BINARY"
+
+    def word(self) -> str | None:
+        b, at = self.content, self.at
+        while at < len(b) and b[at] <= 32:
+            at += 1
+        end = at
+        while end < len(b) and b[end] > 32:
+            end += 1
+        self.at = end
+        return b[at:end].decode("utf-8", "replace") if end > at else None
+
+    def array(self, count: int, kind: str) -> np.ndarray:
+        if not self.binary:
+            return np.array([self.word() for _ in range(count)], float)
+        at = self.content.index(b"\n", self.at) + 1
+        found = np.frombuffer(self.content, KINDS[kind.lower()], count, at)
+        self.at = at + found.nbytes
+        return found.astype(float)
+
+
+def structured_cells(dims: Sequence[int]) -> list[tuple[int, list[int]]]:
+    """Hexahedra, quadrilaterals or lines of a grid of points."""
+    nx, ny, _ = dims
+    shape = {1: 3, 2: 9, 3: 12}.get(sum(n > 1 for n in dims), 1)
+    steps = [s for s, n in zip((1, nx, nx * ny), dims) if n > 1]
+    corners = {0: [0], 1: [0, *steps], 2: [0, steps[0], sum(steps), steps[-1]] if len(steps) == 2 else []}.get(len(steps), [])
+    if len(steps) == 3:
+        low = [0, steps[0], steps[0] + steps[1], steps[1]]
+        corners = [*low, *(c + steps[2] for c in low)]
+    k, j, i = np.meshgrid(*(np.arange(max(n - 1, 1)) for n in dims[::-1]), indexing="ij")
+    first = (i + j * nx + k * nx * ny).ravel()
+    return [(shape, (f + np.array(corners)).tolist()) for f in first.tolist()]
 
 
 def parse(content: bytes) -> dict:
     """points (list of xyz), cells (shape, conn), point_fields and cell_fields by name."""
-    t = tokens(content)
+    t = Cursor(content)
     out: dict = {"points": [], "cells": [], "point_fields": {}, "cell_fields": {}}
     dims, origin, spacing = (1, 1, 1), (0.0, 0.0, 0.0), (1.0, 1.0, 1.0)
     conns: list[list[int]] = []
-    where, n, axes = "point_fields", 0, {}
-    kind = ""
-    if next(t).upper() != "ASCII":
-        raise ValueError("only ASCII files are read here")
-    for word in t:
+    where, n, axes, kind = "point_fields", 0, {}, ""
+
+    def keep(name: str, values: np.ndarray, width: int, parts: str = "") -> None:
+        rows = values.reshape(-1, width)
+        for k in range(width):
+            out[where][name if width == 1 else f"{name}_{parts[k] if parts else k}"] = rows[:, k].tolist()
+
+    while (word := t.word()) is not None:
         w = word.upper()
         if w == "DATASET":
-            kind = next(t).upper()
+            kind = t.word().upper()
         elif w == "DIMENSIONS":
-            dims = tuple(int(next(t)) for _ in range(3))
+            dims = tuple(int(t.word()) for _ in range(3))
         elif w == "ORIGIN":
-            origin = tuple(float(next(t)) for _ in range(3))
+            origin = tuple(float(t.word()) for _ in range(3))
         elif w in ("SPACING", "ASPECT_RATIO"):
-            spacing = tuple(float(next(t)) for _ in range(3))
+            spacing = tuple(float(t.word()) for _ in range(3))
         elif w in ("X_COORDINATES", "Y_COORDINATES", "Z_COORDINATES"):
-            count = int(next(t))
-            next(t)
-            axes[w[0]] = [float(next(t)) for _ in range(count)]
+            count = int(t.word())
+            axes[w[0]] = t.array(count, t.word()).tolist()
         elif w == "POINTS":
-            count = int(next(t))
-            next(t)
-            out["points"] = [tuple(float(next(t)) for _ in range(3)) for _ in range(count)]
-        elif w in ("CELLS", "POLYGONS", "LINES", "VERTICES"):
-            count = int(next(t))
-            next(t)
-            conns += [[int(next(t)) for _ in range(int(next(t)))] for _ in range(count)]
+            count = int(t.word())
+            out["points"] = [tuple(p) for p in t.array(3 * count, t.word()).reshape(-1, 3).tolist()]
+        elif w in ("CELLS", "POLYGONS", "LINES", "VERTICES", "TRIANGLE_STRIPS"):
+            count, size = int(t.word()), int(t.word())
+            mark = t.at
+            if (t.word() or "").upper() == "OFFSETS":
+                ends = t.array(count, t.word()).astype(int)
+                t.word()
+                flat = t.array(size, t.word()).astype(int)
+                conns += [flat[a:b].tolist() for a, b in zip(ends, ends[1:])]
+            else:
+                t.at = mark
+                flat, at = t.array(size, "int").astype(int), 0
+                for _ in range(count):
+                    conns.append(flat[at + 1 : at + 1 + flat[at]].tolist())
+                    at += 1 + flat[at]
         elif w == "CELL_TYPES":
-            out["cells"] = [(int(next(t)), c) for _, c in zip(range(int(next(t))), conns)]
+            out["cells"] = list(zip(t.array(int(t.word()), "int").astype(int).tolist(), conns))
         elif w in ("POINT_DATA", "CELL_DATA"):
-            where, n = w.lower().replace("data", "fields"), int(next(t))
+            where, n = w.lower().replace("data", "fields"), int(t.word())
         elif w == "SCALARS":
-            name = next(t)
-            next(t)
-            word = next(t)
-            width = 1
-            if word.upper() != "LOOKUP_TABLE":
+            name, of, width = t.word(), t.word(), 1
+            if (word := t.word()).upper() != "LOOKUP_TABLE":
                 width = int(word)
-                next(t)
-            next(t)
-            values = [[float(next(t)) for _ in range(width)] for _ in range(n)]
-            out[where][name] = [v[0] for v in values]
+                t.word()
+            t.word()
+            keep(name, t.array(n * width, of), width)
         elif w == "FIELD":
-            next(t)
-            for _ in range(int(next(t))):
-                name, width, count = next(t), int(next(t)), int(next(t))
-                next(t)
-                values = [[float(next(t)) for _ in range(width)] for _ in range(count)]
-                out[where][name] = [v[0] for v in values]
+            t.word()
+            for _ in range(int(t.word())):
+                name, width, count, of = t.word(), int(t.word()), int(t.word()), t.word()
+                keep(name, t.array(width * count, of), width)
         elif w in ("VECTORS", "NORMALS"):
-            name = next(t)
-            next(t)
-            values = [[float(next(t)) for _ in range(3)] for _ in range(n)]
-            out[where] |= {f"{name}_{c}": [v[k] for v in values] for k, c in enumerate("xyz")}
+            keep(t.word(), t.array(3 * n, t.word()), 3, "xyz")
     if kind == "STRUCTURED_POINTS":
         axes = {c: [o + s * k for k in range(m)] for c, o, s, m in zip("XYZ", origin, spacing, dims)}
     if axes:
         out["points"] = [(x, y, z) for z in axes["Z"] for y in axes["Y"] for x in axes["X"]]
-    if conns and not out["cells"]:
+    if kind in ("STRUCTURED_POINTS", "STRUCTURED_GRID", "RECTILINEAR_GRID"):
+        out["cells"] = structured_cells(dims)
+    elif conns and not out["cells"]:
         out["cells"] = [({1: 1, 2: 3, 3: 5, 4: 9}.get(len(c), 7), c) for c in conns]
     return out
 
@@ -102,15 +150,30 @@ def _cells(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             yield pd.DataFrame({"file": [path] * len(cells), "cell": range(len(cells)), "shape": [s for s, _ in cells], "conn": [c for _, c in cells]})
 
 
-def read_points(spark: SparkSession, path: str) -> DataFrame:
+def read_points(spark: SparkSession, path: str | list[str]) -> DataFrame:
     """A row for each file, point and point field (field null if a file has none). Files are the unit of work."""
     return spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(_points, POINTS)
 
 
-def read_cells(spark: SparkSession, path: str) -> DataFrame:
+def read_cells(spark: SparkSession, path: str | list[str]) -> DataFrame:
     return spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(_cells, CELLS)
 
 
+def block_files(spark: SparkSession, path: str) -> list[str]:
+    """The files that a list of blocks names, relative to it; lines that begin with ! or # are settings."""
+    folder = path.rpartition("/")[0]
+    lines = [r.value.strip() for r in spark.read.text(path).collect()]  # a line a block
+    return [x if x.startswith("/") or ":" in x else f"{folder}/{x}" for x in lines if x and x[0] not in "!#"]
+
+
+def put(spark: SparkSession, path: str, content: bytes) -> None:
+    """Writes a small file to any file system that the session knows."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    stream = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).create(where, True)
+    stream.write(bytearray(content))
+    stream.close()
+
+
 def write_unstructured(points: DataFrame, cells: DataFrame, path: str, fields: Sequence[str] = ()) -> None:
     """One legacy file, for meshes that a viewer can open: rows are streamed through the driver, partition by partition."""
     with Path(path).open("w") as out:
