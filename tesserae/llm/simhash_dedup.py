@@ -15,8 +15,9 @@ emits a spanning forest of its links rather than all pairs.
 
 A null or blank text has fingerprint zero. Repeated rows, and different texts
 under one doc_id, share their component. A component whose doc_ids are all null
-has a null component_id. Empty tables give empty results; further columns pass
-through near_dedup and are left out by near_duplicates.
+has a null component_id. Of a component the least doc_id stays, on ties the least text
+digest. Texts of any length are hashed whole, shingle by shingle. Empty tables give empty results; further columns pass
+through near_dedup, whatever their names, and are left out by near_duplicates.
 """
 
 from __future__ import annotations
@@ -35,6 +36,8 @@ from tesserae.llm.components import connected_components
 from tesserae.llm.gray_index import Forest, GrayIndex, gray_rank
 
 SEED = 42
+#: Codes, each in all its tables, that a task indexes about.
+ROUTED = 60_000
 #: Shingles hashed at a time.
 SHINGLES = 1 << 15
 #: Codes to an index, and to a leaf of a bucket that exceeds it.
@@ -244,7 +247,9 @@ def links(codes: DataFrame, limit: int = 4, salts: int = 16) -> DataFrame:
     codes: a column code of distinct longs.
     """
     routed = map_arrow(codes.select("code"), _route(limit), "table_no int, bucket long, gray long, moved long")
-    sorted_ = routed.repartition("table_no", "bucket").sortWithinPartitions("table_no", "gray")
+    # By number of rows rather than of bytes: comparing small codes takes long.
+    parts = max(int(codes.sparkSession.conf.get("spark.sql.shuffle.partitions")), 15 * codes.count() // ROUTED)
+    sorted_ = routed.repartition(parts, "table_no", "bucket").sortWithinPartitions("table_no", "gray")
     joined = checkpointed(map_arrow(sorted_, _join_buckets(limit), JOINED))
     found = joined.where("kind = 0").select("a", "b")
     leaves = joined.where("kind = 1").select("table_no", "bucket", "leaf", "ones", "zeros", "codes")
