@@ -8,7 +8,10 @@ them by blanks if it names none.
 
 The file's normaliser and pre-tokenizer cut texts into words. As neither looks
 past white space, texts are first cut there and what a piece gives is remembered.
-Null texts count as empty: no ids, and the digests of empty strings.
+Null texts count as empty: no ids, and the digests of empty strings. Texts of any length are
+encoded whole; a word of any length takes time in proportion to its length times the logarithm
+of it. Repeated rows are encoded each; of two merges of one rank the left one goes first. An
+empty table gives an empty result; further columns are left out, whatever their names.
 """
 
 from __future__ import annotations
@@ -29,7 +32,7 @@ from tesserae.llm.byte_tokens import Remembered, byte_level
 from tesserae.llm.common import documents, map_arrow, tokenizer_path
 
 #: Pieces and words that a worker process remembers.
-PIECES, WORDS = 500_000, 500_000
+PIECES, WORDS = 400_000, 300_000
 
 _BLANK = re.compile(r"[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+")
 #: White space to Python, though not to the tokenizer.

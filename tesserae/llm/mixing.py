@@ -11,7 +11,9 @@ over slices of the sorted order within a source, then within a slice.
 A null text has size 0 and is taken as often as its source's whole epochs; null
 sources are one source, the last in order; repeated rows share u and are ordered
 by nothing else, so which of them comes first is of no effect on sums. An empty
-table gives an empty result; mix() passes further columns on.
+table gives an empty result; mix() passes further columns on, whatever their names. Texts of any
+length count whole; a document larger than what is left of a target is taken if that brings the
+sum nearer to it.
 """
 
 from __future__ import annotations

@@ -7,8 +7,9 @@ in more documents than the limit are removed, and a document is rejected if too
 few of its words stay.
 
 Null texts are empty (and fail the base rules); null hosts are one host; repeated
-rows get equal verdicts; empty tables give empty results. quality_counts leaves
-further columns out, quality_filter passes them on.
+rows get equal verdicts; empty tables give empty results; texts and lines of any length are
+counted whole; a line at a limit is not above it. quality_counts leaves further columns out,
+quality_filter passes them on, whatever their names.
 """
 
 from __future__ import annotations

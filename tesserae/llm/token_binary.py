@@ -7,7 +7,10 @@ indexes. Readers that want metadata never touch the pages of ids, and readers
 that want a range of documents skip row groups and pages by doc_id.
 
 A null id sorts first; rows under one id follow each other by text; a null text
-counts as empty and holds the end id alone; further columns are left out.
+counts as empty and holds the end id alone; further columns are left out, whatever their names.
+A text of any length is one row and is encoded whole; pages and row groups are bounded by rows,
+so a very long one makes its page larger. Equal rows are written each, in no order among
+themselves. An empty table gives no file of rows, and reading gives an empty result.
 """
 
 from __future__ import annotations

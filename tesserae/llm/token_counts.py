@@ -5,7 +5,9 @@ the SHA-256 of their file. Counts stored for a pair are reused; only distinct
 contents without one are encoded, and their counts are appended to the cache.
 
 Nulls count as empty texts; rows that repeat share one entry of the cache; an
-empty table gives an empty result; further columns of the input are left out.
+empty table gives an empty result; further columns of the input are left out, whatever their
+names. Texts of any length are encoded whole; a hot text is encoded once. Of equal entries in
+the cache either is used, as they agree.
 """
 
 from __future__ import annotations

@@ -48,6 +48,24 @@ def test_names_and_contracts(spark, sf_dir):
             assert {c: kinds[c] for c in words[::2]} == dict(zip(words[::2], words[1::2])), name
 
 
+def test_stages_on_odd_tables(spark, odd, empty, sf_dir):
+    """Nulls, repeats, long texts and columns named like helpers, one stage at a time and all together; empty tables."""
+    ids = {r.doc_id for r in odd.select("doc_id").collect()}
+    together = odd
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        alone = stage(spark, odd, sf_dir)
+        assert alone.columns == odd.columns and {r.doc_id for r in alone.select("doc_id").collect()} <= ids, name
+        none = stage(spark, empty, sf_dir)
+        assert none.columns == odd.columns and none.count() == 0, name
+        together = stage(spark, together, sf_dir).cache()
+        assert together.columns == odd.columns, name
+    last = corpus_pipeline.encode(spark, together, sf_dir)
+    assert last.count() == together.count() and corpus_pipeline.encode(spark, empty, sf_dir).count() == 0
+    assert together.where("text IS NULL OR trim(text) = ''").isEmpty() and together.where("doc_id = 8").count() >= 1
+    seconds = corpus_pipeline.near_duplicates(spark, odd, sf_dir).select("doc_id", "text").collect()
+    assert sum(not (r.text or "").strip() for r in seconds) == 1  # all blank texts are one group
+
+
 def test_pipeline(spark, sf_dir):
     """Each stage by itself is held against brute force elsewhere; here their order, columns and effects."""
     names = [n for n, _ in corpus_pipeline.STAGES]
