@@ -49,7 +49,7 @@ BLOCK = f"""WITH n AS (SELECT greatest(4, CAST(round(pow(count(*), 1.0 / 3) / 2)
   o AS (SELECT * FROM (VALUES {_tables()}) t(parity, part, corner, di, dj, dk)),
   t AS (SELECT q.cell, o.part, o.corner, p.* FROM q JOIN o ON o.parity = (q.i + q.j + q.k) % 2 JOIN p ON p.i = q.i + o.di AND p.j = q.j + o.dj AND p.k = q.k + o.dk),
   """
-LEVEL = 2.7531
+LEVEL = 2.753141592653
 
 
 def cut_sql(f: str, level: str) -> str:
