@@ -51,7 +51,7 @@ def contour_surface(cells: DataFrame, points: DataFrame, value: Column, levels:
         below = sum((F.when(_at(k, level), 0).otherwise(1) for k in range(1, 4)), F.when(_at(0, level), 0).otherwise(1))
         cut = lambda *pairs: F.array(*(_crossing(i, j, level) for i, j in pairs))  # noqa: B023, E731
         polygon = F.when(below == 1, cut((0, 1), (0, 2), (0, 3))).when(below == 2, cut((0, 2), (0, 3), (1, 3), (1, 2))).when(below == 3, cut((0, 3), (1, 3), (2, 3)))
-        rows = tetras.select(F.lit(level).alias("level"), "cell", "part", polygon.alias("p"), "s").where("p IS NOT NULL")
+        rows = tetras.where(below.between(1, 3)).select(F.lit(level).alias("level"), "cell", "part", polygon.alias("p"), "s")
         p, s = F.col("p"), F.col("s")
         n = cross(minus(_xyz(p[1]), _xyz(p[0])), minus(_xyz(p[2]), _xyz(p[0])))
         rising = dot(n, minus(_xyz(s[3]), _xyz(s[0]))) >= 0
