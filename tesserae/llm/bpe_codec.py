@@ -10,7 +10,7 @@ The file's normaliser and pre-tokenizer cut texts into words. As neither looks
 past white space, texts are first cut there and what a piece gives is remembered.
 Null texts count as empty: no ids, and the digests of empty strings. Texts of any length are
 encoded whole; a word of any length takes time in proportion to its length times the logarithm
-of it. Repeated rows are encoded each; of two merges of one rank the left one goes first. An
+of it. Repeated rows stay, and digests() encodes those that follow each other once; of two merges of one rank the left one goes first. An
 empty table gives an empty result; further columns are left out, whatever their names.
 """
 
@@ -159,8 +159,16 @@ Batches = Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]
 def _summaries(path: str) -> Batches:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         summary = codec(path).summary
+        text, own = None, summary(None)
+
+        def told(t: str | None) -> tuple[int, str, str]:
+            nonlocal text, own
+            if t != text:  # copies stand next to each other in a mix
+                text, own = t, summary(t)
+            return own
+
         for b in batches:
-            n, ids, decoded = zip(*[summary(t.as_py()) for t in b.column(1)]) if b.num_rows else ((), (), ())
+            n, ids, decoded = zip(*[told(t.as_py()) for t in b.column(1)]) if b.num_rows else ((), (), ())
             yield pa.record_batch(
                 [b.column(0), pa.array(n, pa.int64()), pa.array(ids, pa.string()), pa.array(decoded, pa.string())],
                 ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"],

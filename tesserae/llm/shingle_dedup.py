@@ -4,8 +4,10 @@ Candidates share a band of minhashes (20 bands of 6: of 3,000 made pairs at a
 similarity of 0.8, 0.996 share one); each is checked by the exact similarity of the
 sets of shingles. Texts with one set of shingles are one node, so copies cost
 nothing. The nodes of a band are first compared with the least of them; only nodes
-that this leaves in different components are then compared with each other, so a
-large group costs about one comparison a node and band.
+that this leaves in different components are then compared with each other, in cells
+of bounded size to which each set comes once, so that no pair of texts is moved. These
+comparisons still grow with the square of a band whose texts are alike but below the
+limit, at under a microsecond each for texts of 400 words.
 
 It is what near-duplicates by SimHash need for a similarity of 0.8, which lies too many bits
 away for their index. Null and blank texts have no shingles and are one group; texts of any
@@ -32,6 +34,8 @@ SHINGLE, SIMILARITY = 5, 0.8
 BANDS, ROWS = 20, 6
 #: Shingles hashed by all minhashes at a time.
 PART = 4096
+#: Shingles of a cell's side: as many nodes of a band as hold them about are compared in one task.
+CELL = 1 << 20
 
 
 def shingle_set(text: str | None, shingle: int = SHINGLE) -> np.ndarray:
@@ -77,7 +81,8 @@ def _prints(shingle: int):
             sets = [shingle_set(t.as_py(), shingle) for t in batch.column(2)]
             nodes = np.array([xxhash.xxh64_intdigest(s.tobytes(), SEED) for s in sets], np.uint64).view(np.int64)
             own = pa.array([bands(s, factors) for s in sets], pa.list_(pa.int64()))
-            yield pa.record_batch([batch.column(0), batch.column(1), pa.array(nodes), own], ["doc_id", "text_key", "node", "bands"])
+            sizes = pa.array([len(s) for s in sets], pa.int64())
+            yield pa.record_batch([batch.column(0), batch.column(1), pa.array(nodes), sizes, own], ["doc_id", "text_key", "node", "shingles", "bands"])
 
     return run
 
@@ -97,34 +102,103 @@ def _check(shingle: int, least: float):
     return run
 
 
+def join_cell(node: list[int], group: list[int], side: list[int], sets: list[np.ndarray], least: float) -> list[tuple[int, int]]:
+    """Pairs of similar nodes that connect the groups which such pairs connect.
+
+    With two sides, only nodes of different sides are compared.
+    """
+    label = np.unique(np.array(group), return_inverse=True)[1]
+    # The largest group goes last, as its nodes needn't be compared with each other.
+    main = np.bincount(label).argmax()
+    order = np.lexsort((label == main, np.array(side)))
+    label, sizes = label[order], np.array([len(sets[k]) for k in order])
+    apart = int(np.sum(np.array(side) == min(side)))
+    ids = np.unique(np.concatenate([sets[k] for k in order]), return_inverse=True)[1]
+    starts = np.concatenate([[0], np.cumsum(sizes)])
+    two, mark, found = apart < len(order), np.zeros(int(ids.max()) + 1, bool), []
+    for k in range(apart):
+        first = apart if two else k + 1
+        open_ = (label[first:] != label[k]) & (sizes[first:] >= least * sizes[k]) & (sizes[k] >= least * sizes[first:])
+        if not open_.any():
+            continue
+        # The nodes from the first to the last that may be similar.
+        at = np.flatnonzero(open_)
+        low, high = first + at[0], first + at[-1] + 1
+        own = ids[starts[k] : starts[k + 1]]
+        mark[own] = True
+        both = np.add.reduceat(mark[ids[starts[low] : starts[high]]], starts[low:high] - starts[low], dtype=np.int64)
+        mark[own] = False
+        near = open_[at[0] : at[-1] + 1] & (both / (sizes[k] + sizes[low:high] - both) >= least)
+        for j in np.flatnonzero(near) + low:
+            if label[j] != label[k]:
+                found.append((node[order[k]], node[order[j]]))
+                label[label == label[j]] = label[k]
+    return found
+
+
+def _join_cells(shingle: int, least: float):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # Rows come sorted by cell, which may go on in the next batch.
+        cell, held = None, ([], [], [], [])
+
+        def flush() -> Iterator[pa.RecordBatch]:
+            if len(set(held[1])) > 1 and (found := join_cell(*held, least)):
+                a, b = zip(*found)
+                yield pa.record_batch([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+
+        for batch in batches:
+            *cells, node, group, side = (c.to_pylist() for c in batch.columns[:6])
+            for k, key in enumerate(zip(*cells)):
+                if key != cell:
+                    yield from flush()
+                    cell, held = key, ([], [], [], [])
+                for kept, x in zip(held, (node[k], group[k], side[k], shingle_set(batch.column(6)[k].as_py(), shingle))):
+                    kept.append(x)
+        yield from flush()
+
+    return run
+
+
+def left_apart(classed: DataFrame, texts: DataFrame, shingle: int, least: float) -> DataFrame:
+    """Links a - b between similar nodes of one band that are in different classes.
+
+    classed: band, node, shingles, class. texts: node, text.
+    """
+    held = classed.groupBy("band", "class").agg(F.sum("shingles").alias("held"))
+    plan = held.groupBy("band").agg(F.count("*").alias("classes"), F.max(F.struct("held", "class")).alias("top"), F.sum("held").alias("all")).where("classes > 1")
+    parts = lambda shingles: F.ceil(shingles / CELL)
+    plan = plan.select("band", "all", F.col("top.class").alias("main"), parts(F.col("top.held")).alias("mains"), parts(F.col("all") - F.col("top.held")).alias("others"))
+    # A band beyond one cell is split: the others among themselves and with the largest class, but not that with itself.
+    nth = lambda n: F.pmod(F.xxhash64("node"), F.col(n))
+    is_main, small = F.col("class") == F.col("main"), F.col("all") <= CELL
+    side = F.when(small, F.lit(0)).when(is_main, F.col("others") + nth("mains")).otherwise(nth("others"))
+    last = F.when(small, F.lit(0)).when(is_main, F.col("others") - 1).otherwise(F.col("others") + F.col("mains") - 1)
+    placed = classed.join(plan, "band").select("band", "node", "class", side.cast("long").alias("side"), F.explode(F.sequence(F.lit(0), last.cast("int"))).alias("with"))
+    rows = placed.join(texts, "node").select("band", F.least("side", "with").alias("low"), F.greatest("side", "with").alias("high"), "node", "class", "side", "text")
+    rows = rows.repartition("band", "low", "high").sortWithinPartitions("band", "low", "high")
+    return checkpointed(map_arrow(rows, _join_cells(shingle, least), "a long, b long"))
+
+
 def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, least: float = SIMILARITY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row for each input row: doc_id, text_key, class (a node that stands for the component)."""
     text = F.col(text_col)
     thin = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_key(text).alias("text_key"), text.alias("text"))
-    prints = checkpointed(map_arrow(thin, _prints(shingle), "doc_id long, text_key long, node long, bands array<long>"))
-    nodes = prints.groupBy("node").agg(F.min("text_key").alias("text_key"), F.any_value("bands").alias("bands"))
-    held = nodes.select("node", F.explode("bands").alias("band"))
+    prints = checkpointed(map_arrow(thin, _prints(shingle), "doc_id long, text_key long, node long, shingles long, bands array<long>"))
+    nodes = prints.groupBy("node").agg(F.min("text_key").alias("text_key"), F.any_value("shingles").alias("shingles"), F.any_value("bands").alias("bands"))
+    held = nodes.select("node", "shingles", F.explode("bands").alias("band"))
     firsts = held.groupBy("band").agg(F.min("node").alias("first"), F.max("node").alias("last")).where("first != last")
     held = checkpointed(held.join(firsts.select("band", "first"), "band"))
     texts = nodes.select("node", "text_key").join(held.select("node").distinct(), "node", "left_semi")
     texts = checkpointed(thin.select("text_key", "text").join(texts, "text_key").groupBy("node").agg(F.any_value("text").alias("text")))
 
-    def similar(pairs: DataFrame) -> DataFrame:
-        with_a = pairs.join(texts.select(F.col("node").alias("a"), F.col("text").alias("text_a")), "a")
-        both = with_a.join(texts.select(F.col("node").alias("b"), F.col("text").alias("text_b")), "b").select("a", "b", "text_a", "text_b")
-        return checkpointed(map_arrow(both, _check(shingle, least), "a long, b long"))
-
     tried = checkpointed(held.where("node != first").select(F.col("first").alias("a"), F.col("node").alias("b")).distinct())
-    links = similar(tried)
+    with_a = tried.join(texts.select(F.col("node").alias("a"), F.col("text").alias("text_a")), "a")
+    both = with_a.join(texts.select(F.col("node").alias("b"), F.col("text").alias("text_b")), "b").select("a", "b", "text_a", "text_b")
+    links = checkpointed(map_arrow(both, _check(shingle, least), "a long, b long"))
     parts = connected_components(links)
     # What is left: nodes of one band in different components, each with each.
-    classed = checkpointed(held.select("band", "node").join(parts, "node", "left").select("band", "node", F.coalesce("component", "node").alias("class")))
-    mixed = classed.select("band", "class").distinct()
-    apart = mixed.withColumnRenamed("class", "class_a").join(mixed.withColumnRenamed("class", "class_b"), "band").where("class_a < class_b")
-    member = lambda side: classed.select("band", F.col("class").alias(f"class_{side}"), F.col("node").alias(side))
-    rest = apart.join(member("a"), ["band", "class_a"]).join(member("b"), ["band", "class_b"])
-    rest = rest.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct().join(tried, ["a", "b"], "left_anti")
-    more = similar(rest)
+    classed = held.select("band", "node", "shingles").join(parts, "node", "left")
+    more = left_apart(checkpointed(classed.select("band", "node", "shingles", F.coalesce("component", "node").alias("class"))), texts, shingle, least)
     if not more.isEmpty():
         parts = connected_components(links.unionByName(more))
     return prints.join(parts, "node", "left").select("doc_id", "text_key", F.coalesce("component", "node").alias("class"))

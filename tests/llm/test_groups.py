@@ -266,6 +266,48 @@ def test_large_group_and_its_fringe(spark):
     assert shingle_dedup.near_dedup(spark.createDataFrame(docs, "doc_id long, text string").limit(0)).count() == 0
 
 
+def fringe(n, edits, seed=1):
+    """Texts of 150 words, most too far from each other to be near copies, as all differ from one in edits words."""
+    rng = random.Random(seed)
+    words = [f"w{i}" for i in range(150)]
+    texts = []
+    for k in range(n):
+        own = words[:]
+        for i in rng.sample(range(150), edits if k % 4 else edits // 4):
+            own[i] = f"x{rng.randrange(10**6)}"
+        texts.append(" ".join(own))
+    return texts
+
+
+@pytest.mark.parametrize("cell", [1 << 20, 2000, 1])
+def test_left_apart_in_cells(spark, cell, monkeypatch):
+    """What is compared grows with the texts, not their pairs; cells of any size find the same."""
+    texts, rows, apply = fringe(60 if cell == 1 else 160, 8), [], shingle_dedup.map_arrow
+    monkeypatch.setattr(shingle_dedup, "CELL", cell)
+    monkeypatch.setattr(shingle_dedup, "map_arrow", lambda df, *rest: rows.append(df.count()) or apply(df, *rest))
+    kept = shingle_dedup.near_dedup(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    sets = [word_shingles(t) for t in texts]
+    want = parts([(a, b) for a in range(len(texts)) for b in range(a) if alike(sets[a], sets[b])], range(len(texts)))
+    assert len(set(want.values())) > len(texts) / 4
+    assert sorted(want[r.doc_id] for r in kept) == sorted(set(want.values()))
+    if cell == 1 << 20:
+        assert max(rows) <= 20 * len(texts)  # a row for each text and band at most
+
+
+@pytest.mark.parametrize("two", [False, True])
+def test_join_cell(two):
+    rng = np.random.default_rng(3)
+    for _ in range(50):
+        base = rng.integers(0, 2**63, 60, dtype=np.uint64)
+        sets = [np.unique(np.concatenate([rng.permutation(base)[: rng.integers(45, 61)], rng.integers(0, 2**63, rng.integers(0, 6), dtype=np.uint64)])) for _ in range(12)]
+        group, side = rng.integers(0, 5, 12).tolist(), rng.integers(0, 2, 12).tolist() if two else [3] * 12
+        near = lambda pairs: {(a, b) for a, b in pairs if shingle_dedup.similarity(sets[a], sets[b]) >= 0.8}
+        found = shingle_dedup.join_cell(list(range(12)), group, side, sets, 0.8)
+        every = near((a, b) for a in range(12) for b in range(12) if group[a] != group[b] and (not (two and len(set(side)) > 1) or side[a] != side[b]))
+        assert set(found) <= every
+        assert parts([(-1 - group[a], -1 - group[b]) for a, b in found], range(-5, 0)) == parts([(-1 - group[a], -1 - group[b]) for a, b in every], range(-5, 0))
+
+
 @pytest.mark.parametrize("cells", [64, 256, 2048])
 def test_probes_find_links_at_the_limit(cells):
     """Pairs at a cosine of 0.9, held out from the centres' sample: found if they share a cell."""

@@ -4,6 +4,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
@@ -101,6 +102,18 @@ def test_bpe_query(table, request):
     assert Counter((r.doc_id, len(r.ids), digest(" ".join(map(str, r.ids))), digest(r.decoded)) for r in full) == want
 
 
+def test_bpe_encodes_copies_in_a_row_once(monkeypatch):
+    ours, seen = bpe_codec.BpeCodec(WORD), []
+    plain = ours.summary
+    monkeypatch.setattr(ours, "summary", lambda t: seen.append(t) or plain(t))
+    monkeypatch.setitem(bpe_codec._open, WORD, ours)
+    texts = [None, "", "a copy", "a copy", "a copy", "another", None, None, "a copy"]
+    batches = [pa.record_batch([pa.array(range(len(x))), pa.array(x, pa.string())], ["doc_id", "text"]) for x in (texts[:4], texts[4:])]
+    got = [tuple(r.values())[1:] for b in bpe_codec._summaries(WORD)(iter(batches)) for r in b.to_pylist()]
+    assert got == list(map(plain, texts))
+    assert seen.count("a copy") == 2
+
+
 @pytest.mark.parametrize("encoding", ["dictionary", "delta"])
 @pytest.mark.parametrize("table", ["odd", "docs"])
 def test_token_files(spark, table, encoding, request):
