@@ -26,7 +26,10 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps one document of each group of near copies: five words to a shingle, a similarity of 0.8 at least."""
+    """Keeps one document of each group of near copies: five words to a shingle, a similarity of 0.8 at least.
+
+    Candidates come from SimHash fingerprints through Gray-order indexes, and from minhashes.
+    """
     return shingle_dedup.near_dedup(docs)
 
 

@@ -1,16 +1,18 @@
-"""Near-duplicate groups by the Jaccard similarity of word shingles.
-
-Candidates share a band of minhashes (20 bands of 6: of 3,000 made pairs at a
-similarity of 0.8, 0.996 share one); each is checked by the exact similarity of the
-sets of shingles. Texts with one set of shingles are one node, so copies cost
+"""Near-duplicate groups by SimHash and the Jaccard similarity of word shingles.
+
+Candidates are texts whose SimHash fingerprints are linked by chains of differences
+within a limit, as simhash_dedup finds them by its Gray-order indexes, and texts that share
+a band of minhashes (20 bands of 6: of 3,000 made pairs at a similarity of 0.8, 0.996 share
+one), since fingerprints of most pairs near that similarity lie too many bits away for an
+index. Each fingerprint class is one more band. Candidates are checked by the exact similarity
+of the sets of shingles. Texts with one set of shingles are one node, so copies cost
 nothing. The nodes of a band are first compared with the least of them; only nodes
 that this leaves in different components are then compared with each other, in cells
 of bounded size to which each set comes once, so that no pair of texts is moved. These
 comparisons still grow with the square of a band whose texts are alike but below the
 limit, at under a microsecond each for texts of 400 words.
 
-It is what near-duplicates by SimHash need for a similarity of 0.8, which lies too many bits
-away for their index. Null and blank texts have no shingles and are one group; texts of any
+Null and blank texts have no shingles and are one group; texts of any
 length are shingled whole. Of a group the least doc_id stays, on ties the least text digest.
 Empty tables give empty results. Further columns pass through, whatever their names.
 """
@@ -27,10 +29,12 @@ from pyspark.sql import functions as F
 
 from tesserae.llm.common import checkpointed, map_arrow, text_key
 from tesserae.llm.components import connected_components
-from tesserae.llm.simhash_dedup import SEED, first_of_each
+from tesserae.llm.simhash_dedup import SEED, code_classes, first_of_each, majority
 
 #: Words to a shingle, and the similarity from which texts are near-duplicates.
 SHINGLE, SIMILARITY = 5, 0.8
+#: Bits in which fingerprints that the index links differ at most.
+LIMIT = 4
 BANDS, ROWS = 20, 6
 #: Shingles hashed by all minhashes at a time.
 PART = 4096
@@ -38,8 +42,8 @@ PART = 4096
 CELL = 1 << 20
 
 
-def shingle_set(text: str | None, shingle: int = SHINGLE) -> np.ndarray:
-    """Sorted distinct 64-bit hashes of the text's word shingles; a shorter text is one shingle."""
+def shingle_hashes(text: str | None, shingle: int = SHINGLE) -> np.ndarray:
+    """64-bit hashes of the text's word shingles, each as often as it occurs; a shorter text is one shingle."""
     words = (text or "").encode("utf-8").lower().split()  # bytes: ASCII letters and white space only
     if not words:
         return np.zeros(0, np.uint64)
@@ -47,7 +51,12 @@ def shingle_set(text: str | None, shingle: int = SHINGLE) -> np.ndarray:
     size = min(shingle, len(words))
     starts = np.concatenate([[0], ends[:-1] + 1])[: len(words) - size + 1]
     digest = xxhash.xxh64_intdigest
-    return np.unique(np.array([digest(joined[s:e], SEED) for s, e in zip(starts.tolist(), ends[size - 1 :].tolist())], np.uint64))
+    return np.array([digest(joined[s:e], SEED) for s, e in zip(starts.tolist(), ends[size - 1 :].tolist())], np.uint64)
+
+
+def shingle_set(text: str | None, shingle: int = SHINGLE) -> np.ndarray:
+    """Sorted distinct hashes of the text's word shingles."""
+    return np.unique(shingle_hashes(text, shingle))
 
 
 def similarity(a: np.ndarray, b: np.ndarray) -> float:
@@ -78,11 +87,13 @@ def _prints(shingle: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         factors = _factors()
         for batch in batches:
-            sets = [shingle_set(t.as_py(), shingle) for t in batch.column(2)]
+            hashes = [shingle_hashes(t.as_py(), shingle) for t in batch.column(2)]
+            codes = pa.array(np.array([majority(h) for h in hashes], np.uint64).view(np.int64))
+            sets = [np.unique(h) for h in hashes]
             nodes = np.array([xxhash.xxh64_intdigest(s.tobytes(), SEED) for s in sets], np.uint64).view(np.int64)
             own = pa.array([bands(s, factors) for s in sets], pa.list_(pa.int64()))
             sizes = pa.array([len(s) for s in sets], pa.int64())
-            yield pa.record_batch([batch.column(0), batch.column(1), pa.array(nodes), sizes, own], ["doc_id", "text_key", "node", "shingles", "bands"])
+            yield pa.record_batch([batch.column(0), batch.column(1), pa.array(nodes), codes, sizes, own], ["doc_id", "text_key", "node", "code", "shingles", "bands"])
 
     return run
 
@@ -179,13 +190,17 @@ def left_apart(classed: DataFrame, texts: DataFrame, shingle: int, least: float)
     return checkpointed(map_arrow(rows, _join_cells(shingle, least), "a long, b long"))
 
 
-def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, least: float = SIMILARITY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, least: float = SIMILARITY, limit: int = LIMIT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row for each input row: doc_id, text_key, class (a node that stands for the component)."""
     text = F.col(text_col)
     thin = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_key(text).alias("text_key"), text.alias("text"))
-    prints = checkpointed(map_arrow(thin, _prints(shingle), "doc_id long, text_key long, node long, shingles long, bands array<long>"))
+    prints = checkpointed(map_arrow(thin, _prints(shingle), "doc_id long, text_key long, node long, code long, shingles long, bands array<long>"))
     nodes = prints.groupBy("node").agg(F.min("text_key").alias("text_key"), F.any_value("shingles").alias("shingles"), F.any_value("bands").alias("bands"))
     held = nodes.select("node", "shingles", F.explode("bands").alias("band"))
+    # A class of fingerprints is a band too. Texts of one set that repeat other shingles may have several.
+    coded = checkpointed(prints.where("shingles > 0").select("node", "shingles", "code").distinct())
+    classes = code_classes(checkpointed(coded.select("code").distinct()), limit)
+    held = held.unionByName(coded.join(classes, "code").select("node", "shingles", F.xxhash64(F.lit("code"), "class").alias("band")).distinct())
     firsts = held.groupBy("band").agg(F.min("node").alias("first"), F.max("node").alias("last")).where("first != last")
     held = checkpointed(held.join(firsts.select("band", "first"), "band"))
     texts = nodes.select("node", "text_key").join(held.select("node").distinct(), "node", "left_semi")
@@ -204,6 +219,6 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, least: float = SIMI
     return prints.join(parts, "node", "left").select("doc_id", "text_key", F.coalesce("component", "node").alias("class"))
 
 
-def near_dedup(docs: DataFrame, shingle: int = SHINGLE, least: float = SIMILARITY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def near_dedup(docs: DataFrame, shingle: int = SHINGLE, least: float = SIMILARITY, limit: int = LIMIT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The input's rows, one of each component: the least doc_id, then the least text digest, nulls last; of equal rows, any one."""
-    return first_of_each(docs, near_duplicates(docs, shingle, least, id_col, text_col), id_col, text_col)
+    return first_of_each(docs, near_duplicates(docs, shingle, least, limit, id_col, text_col), id_col, text_col)

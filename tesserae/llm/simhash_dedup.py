@@ -44,6 +44,17 @@ SHINGLES = 1 << 15
 INDEX_CODES = 8192
 
 
+def _ones(hashes: np.ndarray) -> np.ndarray:
+    """How many of some hashes have each of the 64 bits."""
+    return np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+
+
+def majority(hashes: np.ndarray) -> int:
+    """The bits that over half of the hashes have; zero for none."""
+    ones = sum((_ones(hashes[k : k + SHINGLES]) for k in range(0, len(hashes), SHINGLES)), np.zeros(64, np.int64))
+    return int(np.packbits(2 * ones > len(hashes), bitorder="little").view("<u8")[0])
+
+
 def fingerprint(text: str | None, shingle: int = 4) -> int:
     """64-bit SimHash of the text's word shingles, each as often as it occurs."""
     words = (text or "").encode("utf-8").lower().split()  # bytes: ASCII letters and white space only
@@ -58,8 +69,7 @@ def fingerprint(text: str | None, shingle: int = 4) -> int:
     digest = xxhash.xxh64_intdigest
     ones = np.zeros(64, np.int64)
     for k in range(0, n, SHINGLES):
-        part = np.array([digest(joined[s:e], SEED) for s, e in zip(starts[k : k + SHINGLES], ends[k : k + SHINGLES])], "<u8")
-        ones += np.unpackbits(part.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+        ones += _ones(np.array([digest(joined[s:e], SEED) for s, e in zip(starts[k : k + SHINGLES], ends[k : k + SHINGLES])], "<u8"))
     return int(np.packbits(2 * ones > n, bitorder="little").view("<u8")[0])
 
 
@@ -267,12 +277,17 @@ def links(codes: DataFrame, limit: int = 4, salts: int = 16) -> DataFrame:
 def group_codes(prints: DataFrame, limit: int = 4) -> DataFrame:
     """code, component_id (least doc_id reachable) and class (one code that stands for the component)."""
     nodes = checkpointed(prints.groupBy("code").agg(F.min("doc_id").alias("first_id")))
-    parts = connected_components(links(nodes, limit))
-    classes = nodes.join(parts, nodes.code == parts.node, "left").select("code", "first_id", F.coalesce("component", "code").alias("class"))
+    classes = nodes.join(code_classes(nodes.select("code"), limit), "code")
     least = classes.groupBy("class").agg(F.min("first_id").alias("component_id"))
     return classes.join(least, "class").select("code", "component_id", "class")
 
 
+def code_classes(codes: DataFrame, limit: int = 4) -> DataFrame:
+    """code and class (one code that stands for all reachable). codes: a column code of distinct longs."""
+    parts = connected_components(links(codes, limit))
+    return codes.join(parts, codes.code == parts.node, "left").select("code", F.coalesce("component", "code").alias("class"))
+
+
 def near_duplicates(docs: DataFrame, limit: int = 4, shingle: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row for each input row: doc_id, text_key, code, component_id, class."""
     prints = checkpointed(fingerprints(docs, shingle, id_col, text_col))

@@ -294,6 +294,21 @@ def test_left_apart_in_cells(spark, cell, monkeypatch):
         assert max(rows) <= 20 * len(texts)  # a row for each text and band at most
 
 
+def test_shingle_groups_by_fingerprints(spark, monkeypatch):
+    """Fingerprints alone find near copies, and link none that aren't similar enough."""
+    monkeypatch.setattr(shingle_dedup, "bands", lambda own, factors: [])
+    rng, docs = random.Random(9), []
+    for k in range(20):
+        words = [f"w{rng.randrange(5000)}" for _ in range(400)]
+        docs += [(3 * k, " ".join(words)), (3 * k + 1, " ".join([*words[:-1], "changed"]))]
+        # Mostly one shingle over and over, so that fingerprints agree, though the sets don't.
+        docs += [(3 * k + 2, " ".join(["same"] * 500 + words[:20]))]
+    near = [(a, b) for a, b in docs if a % 3 == 1]
+    assert all((slow_fingerprint(docs[a][1]) ^ slow_fingerprint(docs[a - 1][1])).bit_count() <= 4 for a, _ in near[:3])
+    kept = shingle_dedup.near_dedup(spark.createDataFrame(docs, "doc_id long, text string"))
+    assert {r.doc_id for r in kept.collect()} == {d for d, _ in docs if d % 3 != 1}
+
+
 @pytest.mark.parametrize("two", [False, True])
 def test_join_cell(two):
     rng = np.random.default_rng(3)
