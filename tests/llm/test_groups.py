@@ -282,7 +282,7 @@ def fringe(n, edits, seed=1):
 @pytest.mark.parametrize("cell", [1 << 20, 2000, 1])
 def test_left_apart_in_cells(spark, cell, monkeypatch):
     """What is compared grows with the texts, not their pairs; cells of any size find the same."""
-    texts, rows, apply = fringe(60 if cell == 1 else 160, 8), [], shingle_dedup.map_arrow
+    texts, rows, apply = fringe(300 if cell == 1 << 20 else 60, 4), [], shingle_dedup.map_arrow
     monkeypatch.setattr(shingle_dedup, "CELL", cell)
     monkeypatch.setattr(shingle_dedup, "map_arrow", lambda df, *rest: rows.append(df.count()) or apply(df, *rest))
     kept = shingle_dedup.near_dedup(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
