@@ -23,6 +23,10 @@ SCALARS = {
     "clamp": {"a": "greatest(-0.5, least(0.5, x))", "b": "greatest(x, y)", "c": "least(x, y)", "d": "x + (y - x) * 0.25"},
 }
 
+#: How Spark states those that fail or are null in it at the edge of their domain, where SQL has the infinities and NaN of IEEE numbers.
+_inverse = lambda x: f"CASE WHEN {x} = 0 THEN pow({x}, -1) ELSE 1 / {x} END"
+IEEE = {"1 / sqrt(y)": _inverse("sqrt(y)"), "1 / cbrt(y)": _inverse("cbrt(y)")}
+
 
 def _scalar(name: str, columns: dict[str, str]) -> None:
     sql = ", ".join(f"round(CAST({e} AS DOUBLE), 6) + 0.0 AS {c}" for c, e in columns.items())
@@ -30,7 +34,7 @@ def _scalar(name: str, columns: dict[str, str]) -> None:
     @R.add(f"scalar_{name}", f"SELECT event_id, {sql} FROM (SELECT event_id, (event_id % 200 - 100) / 100.125 AS x, value / 10.0 AS y FROM events)")
     def run(spark, d):
         rows = table(spark, d, "events").select("event_id", ((F.col("event_id") % 200 - 100) / 100.125).alias("x"), (F.col("value") / 10.0).alias("y"))
-        return rows.select("event_id", *(F.expr(f"round(CAST({e} AS DOUBLE), 6) + 0.0D").alias(c) for c, e in columns.items()))
+        return rows.select("event_id", *(F.expr(f"round(CAST({IEEE.get(e, e)} AS DOUBLE), 6) + 0.0D").alias(c) for c, e in columns.items()))
 
 
 for _name, _columns in SCALARS.items():
