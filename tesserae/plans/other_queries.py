@@ -25,7 +25,8 @@ SCALARS = {
 
 #: How Spark states those that fail or are null in it at the edge of their domain, where SQL has the infinities and NaN of IEEE numbers.
 _inverse = lambda x: f"CASE WHEN {x} = 0 THEN pow({x}, -1) ELSE 1 / {x} END"
-IEEE = {"1 / sqrt(y)": _inverse("sqrt(y)"), "1 / cbrt(y)": _inverse("cbrt(y)")}
+_log = lambda f, x: f"CASE WHEN {x} > 0 THEN {f}({x}) WHEN {x} = 0 THEN double('-Infinity') WHEN {x} < 0 THEN double('NaN') END"
+IEEE = {"1 / sqrt(y)": _inverse("sqrt(y)"), "1 / cbrt(y)": _inverse("cbrt(y)"), "ln(y)": _log("ln", "y"), "log2(y)": _log("log2", "y"), "log10(y)": _log("log10", "y"), "ln(1 + y)": _log("ln", "(1 + y)")}
 
 
 def _scalar(name: str, columns: dict[str, str]) -> None:

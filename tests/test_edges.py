@@ -34,3 +34,7 @@ def events(spark, values):
 
 def test_powers_at_the_edge_of_their_domain(spark, tmp_path):
     compare(spark, tmp_path, "scalar_power", events=events(spark, [0.0, -0.0, 10.0, 0.0, -5.0, None, 560.0]))
+
+
+def test_logarithms_at_the_edge_of_their_domain(spark, tmp_path):
+    compare(spark, tmp_path, "scalar_exponential", events=events(spark, [0.0, -0.0, 10.0, -10.0, -50.0, None, float("nan")]))
