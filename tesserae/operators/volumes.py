@@ -2,7 +2,8 @@
 
 A tetrahedron's corners are sorted by their values, which leaves three cases for a level between
 them; no case table is needed. Hexahedra with a column parity meet in the same triangles, so
-surfaces have no cracks.
+surfaces have no cracks. Corners are joined by merging: Spark takes rows for as few as they
+were before an explode, and would broadcast all corners of a large mesh.
 """
 
 from __future__ import annotations
@@ -18,7 +19,7 @@ from tesserae.operators.mesh import TETRAS, Point, cross, dot, minus, plus, tetr
 def tetras_with_values(cells: DataFrame, points: DataFrame, value: Column) -> DataFrame:
     """cell, part, s: the corners of each tetrahedron as structs (f, id, x, y, z), by ascending value."""
     parts = tetrahedralize(cells).select("cell", F.monotonically_increasing_id().alias("part"), F.array("a", "b", "c", "d").alias("ids"))
-    flat = parts.select("cell", "part", F.explode("ids").alias("id")).join(points.select("id", value.cast("double").alias("f"), "x", "y", "z"), "id")
+    flat = parts.select("cell", "part", F.explode("ids").alias("id")).join(points.select("id", value.cast("double").alias("f"), "x", "y", "z").hint("merge"), "id")
     return flat.groupBy("cell", "part").agg(F.sort_array(F.collect_list(F.struct("f", "id", "x", "y", "z"))).alias("s"))  # four corners
 
 
@@ -117,7 +118,7 @@ def clip_by_function(cells: DataFrame, points: DataFrame, function: Callable[[Co
 def cell_gradient(cells: DataFrame, points: DataFrame, field: str) -> DataFrame:
     """cell, gx, gy, gz: the volume-weighted mean over a cell's tetrahedra of the gradient of the field, linear in each."""
     parts = tetrahedralize(cells).select("cell", F.monotonically_increasing_id().alias("part"), F.array("a", "b", "c", "d").alias("ids"))
-    flat = parts.select("cell", "part", F.posexplode("ids").alias("k", "id")).join(points.select("id", "x", "y", "z", F.col(field).cast("double").alias("f")), "id")
+    flat = parts.select("cell", "part", F.posexplode("ids").alias("k", "id")).join(points.select("id", "x", "y", "z", F.col(field).cast("double").alias("f")).hint("merge"), "id")
     own = flat.groupBy("cell", "part").agg(F.sort_array(F.collect_list(F.struct("k", "x", "y", "z", "f"))).alias("s"))  # four corners
     s = F.col("s")
     u, v, w = (minus(_xyz(s[k]), _xyz(s[0])) for k in (1, 2, 3))
@@ -132,7 +133,7 @@ def cell_gradient(cells: DataFrame, points: DataFrame, field: str) -> DataFrame:
 
 def point_gradient(cells: DataFrame, points: DataFrame, field: str) -> DataFrame:
     """id, gx, gy, gz: the mean gradient of the cells around each point."""
-    each = cells.select("cell", F.explode("conn").alias("id")).join(cell_gradient(cells, points, field), "cell")
+    each = cells.select("cell", F.explode("conn").alias("id")).join(cell_gradient(cells, points, field).hint("merge"), "cell")
     return each.groupBy("id").agg(*(F.avg(f"g{a}").alias(f"g{a}") for a in "xyz"))
 
 
@@ -142,7 +143,7 @@ def interpolate(cells: DataFrame, points: DataFrame, fields: list[str], where: D
     Tetrahedra are spread over bins as wide as the largest of them, so each touches two to an axis at most.
     """
     parts = tetrahedralize(cells).select("cell", F.monotonically_increasing_id().alias("part"), F.array("a", "b", "c", "d").alias("ids"))
-    flat = parts.select("cell", "part", F.posexplode("ids").alias("k", "pid")).join(points.select(F.col("id").alias("pid"), "x", "y", "z", *fields), "pid")
+    flat = parts.select("cell", "part", F.posexplode("ids").alias("k", "pid")).join(points.select(F.col("id").alias("pid"), "x", "y", "z", *fields).hint("merge"), "pid")
     tetra = flat.groupBy("cell", "part").agg(F.sort_array(F.collect_list(F.struct("k", "x", "y", "z", *fields))).alias("s"), *(f(c).alias(f"{n}_{c}") for c in "xyz" for f, n in ((F.min, "lo"), (F.max, "hi"))))
     widest = tetra.agg(F.max(F.greatest(*(F.col(f"hi_{c}") - F.col(f"lo_{c}") for c in "xyz"))).alias("width"))  # one row
     tetra = tetra.crossJoin(F.broadcast(widest))
@@ -150,7 +151,9 @@ def interpolate(cells: DataFrame, points: DataFrame, fields: list[str], where: D
         tetra = tetra.withColumn(f"b{c}", F.explode(F.sequence(F.floor(F.col(f"lo_{c}") / F.col("width")), F.floor(F.col(f"hi_{c}") / F.col("width")))))
     asked = where.select("id", *(F.col(c).alias(f"q{c}") for c in "xyz")).crossJoin(F.broadcast(widest))
     asked = asked.select("id", "qx", "qy", "qz", *(F.floor(F.col(f"q{c}") / F.col("width")).alias(f"b{c}") for c in "xyz"))
-    rows = asked.join(tetra.drop("width"), ["bx", "by", "bz"])
+    slack = F.col("width") * 1e-6  # more than the weights' tolerance
+    near = [F.col(f"q{c}").between(F.col(f"lo_{c}") - slack, F.col(f"hi_{c}") + slack) for c in "xyz"]
+    rows = asked.join(tetra, ["bx", "by", "bz"]).where(near[0] & near[1] & near[2])
     s, q = F.col("s"), (F.col("qx"), F.col("qy"), F.col("qz"))
     e = [minus(_xyz(s[k]), _xyz(s[0])) for k in (1, 2, 3)]
     d = minus(q, _xyz(s[0]))

@@ -38,3 +38,13 @@ def test_powers_at_the_edge_of_their_domain(spark, tmp_path):
 
 def test_logarithms_at_the_edge_of_their_domain(spark, tmp_path):
     compare(spark, tmp_path, "scalar_exponential", events=events(spark, [0.0, -0.0, 10.0, -10.0, -50.0, None, float("nan")]))
+
+
+def joins(df):
+    return df._jdf.queryExecution().executedPlan().toString().count("BroadcastHashJoin")
+
+
+def test_corners_of_meshes_are_not_broadcast(spark, sf_dir):
+    """But for the points that are asked for; a join is planned twice, for the widest cell and for the corners."""
+    assert joins(catalog.queries()["interpolate_in_cells"](spark, sf_dir)) <= 1
+    assert not any(joins(catalog.queries()[q](spark, sf_dir)) for q in ("clip_volume", "cell_gradient", "point_gradient"))
