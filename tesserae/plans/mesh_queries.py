@@ -86,8 +86,7 @@ def parts(spark, d):
 
 @R.add("within_distance", f"WITH a AS ({PARTS}), b AS ({POINTS}) SELECT a.id AS q_id, b.id AS p_id, round((a.x-b.x)*(a.x-b.x) + (a.y-b.y)*(a.y-b.y), 4) AS d2 FROM a, b WHERE (a.x-b.x)*(a.x-b.x) + (a.y-b.y)*(a.y-b.y) <= 16.00001")
 def within_distance(spark, d):
-    found = spatial.within_distance(parts(spark, d), suppliers(spark, d), ["x", "y"], 4.0000012)
-    return rounded(found)
+    return spatial.within_distance(parts(spark, d), suppliers(spark, d), ["x", "y"], 4.0000012, digits=4)
 
 
 @R.add("nearest_point", f"WITH a AS ({PARTS}), b AS ({POINTS}), r AS (SELECT a.id AS q_id, b.id AS p_id, round((a.x-b.x)*(a.x-b.x) + (a.y-b.y)*(a.y-b.y), 4) AS d2 FROM a, b) SELECT q_id, min(d2) AS d2 FROM r GROUP BY 1")

@@ -48,3 +48,38 @@ def test_corners_of_meshes_are_not_broadcast(spark, sf_dir):
     """But for the points that are asked for; a join is planned twice, for the widest cell and for the corners."""
     assert joins(catalog.queries()["interpolate_in_cells"](spark, sf_dir)) <= 1
     assert not any(joins(catalog.queries()[q](spark, sf_dir)) for q in ("clip_volume", "cell_gradient", "point_gradient"))
+
+
+def test_shared_places_are_compared_once(spark, tmp_path, monkeypatch):
+    """Suppliers and parts that crowd five places each: rows compared don't grow with the crowd, and tasks do with the pairs."""
+    from tesserae.operators import spatial
+
+    compared, near = [], spatial._near
+
+    def counted(*args):
+        out = near(*args)
+        compared.append(out.count())
+        return out
+
+    monkeypatch.setattr(spatial, "_near", counted)
+    monkeypatch.setattr(spatial, "TASK_ROWS", 500)
+    supplier = spark.range(100).select((F.col("id") % 5 + F.floor(F.col("id") / 5) * 1000).alias("s_suppkey"), F.lit(0.0).alias("s_acctbal"))
+    part = spark.range(150).select((F.col("id") % 5 + F.floor(F.col("id") / 5) * 1000).alias("p_partkey"))
+    for name in ("within_distance", "nearest_point", "friends_of_friends", "locate_in_boxes"):
+        compare(spark, tmp_path, name, supplier=supplier, part=part)
+    assert max(compared) <= 25
+    assert catalog.queries()["within_distance"](spark, str(tmp_path)).rdd.getNumPartitions() > 1
+    assert catalog.queries()["locate_in_boxes"](spark, str(tmp_path)).rdd.getNumPartitions() > 1
+
+
+def test_lists_of_a_hot_place_are_cut(spark, monkeypatch):
+    from tesserae.operators import spatial
+
+    monkeypatch.setattr(spatial, "TOGETHER", 8)
+    hot = spark.range(100).select("id", F.lit(1.0).alias("x"), F.when(F.col("id") < 98, 2.0).alias("y"))
+    lists, shared = spatial.packed(hot, ["x", "y"], "id", "ids")
+    assert shared and lists.count() > 8 and lists.agg(F.max(F.size("ids"))).first()[0] < 30
+    assert spatial.within_distance(hot, hot, ["x", "y"], 1.0).distinct().count() == 98 * 98
+    assert spatial.within_distance(hot.limit(0), hot, ["x", "y"], 1.0).count() == 0 and spatial.nearest(hot, hot.limit(0), ["x", "y"], 1.0).count() == 0
+    halos = {r.id: r.halo for r in spatial.friends_of_friends(hot, ["x", "y"], 1.0).collect()}
+    assert [halos[i] for i in (0, 97, 98, 99)] == [0, 0, 1, 2] and len(halos) == 100
