@@ -16,6 +16,8 @@ from pyspark.sql import functions as F
 
 #: Ranges of an order at most, and rows to a range.
 RANGES, RANGE_ROWS = 65_536, 2_000_000
+#: Rows that a task of a join takes together.
+TOGETHER = 1_000_000
 
 
 def checkpoint_folder(spark: SparkSession) -> str:
@@ -40,6 +42,12 @@ def n_ranges(df: DataFrame) -> int:
     return min(RANGES, max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), df.count() // RANGE_ROWS))
 
 
+def by_rows(rows: int, *sides: tuple[DataFrame, list[str]]) -> list[DataFrame]:
+    """Sides of a join, partitioned by their keys into one for each TOGETHER rows, so that the memory of a task doesn't grow: few bytes may be many rows."""
+    n = min(RANGES, rows // TOGETHER + 1)
+    return [df.repartition(n, *keys) for df, keys in sides]
+
+
 def range_bounds(df: DataFrame, key: str, ranges: int | None = None) -> list[float]:
     """Approximate quantiles of a numeric order column; at most RANGES - 1 numbers reach the driver."""
     n = ranges or n_ranges(df)

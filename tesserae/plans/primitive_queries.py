@@ -277,7 +277,9 @@ def random_uniform(spark, d):
 
 @R.add("inner_join", "SELECT l_orderkey, l_partkey, o_custkey, count(*) AS n FROM lineitem JOIN orders ON l_orderkey = o_orderkey GROUP BY 1, 2, 3")
 def inner_join(spark, d):
-    joined = table(spark, d, "lineitem").join(table(spark, d, "orders"), F.col("l_orderkey") == F.col("o_orderkey"))
+    items, orders = table(spark, d, "lineitem"), table(spark, d, "orders")
+    items, orders = P.by_rows(items.count() + orders.count(), (items.select("l_orderkey", "l_partkey"), ["l_orderkey"]), (orders.select("o_orderkey", "o_custkey"), ["o_orderkey"]))
+    joined = items.join(orders, F.col("l_orderkey") == F.col("o_orderkey"))
     return joined.groupBy("l_orderkey", "l_partkey", "o_custkey").agg(F.count("*").alias("n"))
 
 

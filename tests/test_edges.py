@@ -83,3 +83,11 @@ def test_lists_of_a_hot_place_are_cut(spark, monkeypatch):
     assert spatial.within_distance(hot.limit(0), hot, ["x", "y"], 1.0).count() == 0 and spatial.nearest(hot, hot.limit(0), ["x", "y"], 1.0).count() == 0
     halos = {r.id: r.halo for r in spatial.friends_of_friends(hot, ["x", "y"], 1.0).collect()}
     assert [halos[i] for i in (0, 97, 98, 99)] == [0, 0, 1, 2] and len(halos) == 100
+
+
+def test_joins_have_tasks_for_their_rows(spark, sf_dir, monkeypatch):
+    """Not as few as bytes ask for."""
+    from tesserae.operators import primitives
+
+    monkeypatch.setattr(primitives, "TOGETHER", 500)
+    assert catalog.queries()["inner_join"](spark, sf_dir).rdd.getNumPartitions() == 16  # of 6000 + 1500 rows
