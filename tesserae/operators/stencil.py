@@ -12,6 +12,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tesserae.operators.primitives import by_rows
+
 
 def axes_of(pixels: DataFrame) -> list[str]:
     return [c for c in "ijk" if c in pixels.columns]
@@ -28,15 +30,22 @@ def ball(radius: int, n: int) -> list[tuple[int, ...]]:
 def neighbourhood(pixels: DataFrame, around: list[tuple[int, ...]], size: Sequence[int] | None = None) -> DataFrame:
     """A row for each pixel (ci, cj, ...) and pixel around it (i, j, ..., di, dj, ...): one equi-join on shifted indices.
 
-    With a size, indices beyond the edge are clamped, so that edge values repeat; else they are left out.
+    With a size, indices beyond the edge are clamped, so that edge values repeat; else they are left out, and rows
+    are partitioned by their centre, which they are sent to, so that grouping by it moves nothing more.
     """
     axes = axes_of(pixels)
     each = F.inline(F.array(*(F.struct(*(F.lit(x).alias(f"d{c}") for c, x in zip(axes, o))) for o in around)))
-    centres = pixels.select(*(F.col(c).alias(f"c{c}") for c in axes), each)
-    at = [F.col(f"c{c}") + F.col(f"d{c}") for c in axes]
+    rows, kind = pixels.count() * (len(around) + 1), dict(pixels.dtypes)
     if size:
-        at = [F.greatest(F.lit(0), F.least(x, F.lit(n - 1))) for x, n in zip(at, size)]
-    return centres.select(*(f"c{c}" for c in axes), *(f"d{c}" for c in axes), *(x.alias(c) for x, c in zip(at, axes))).join(pixels, axes)
+        centres = pixels.select(*(F.col(c).alias(f"c{c}") for c in axes), each)
+        at = [F.greatest(F.lit(0), F.least(F.col(f"c{c}") + F.col(f"d{c}"), F.lit(n - 1))) for c, n in zip(axes, size)]
+        centres = centres.select(*(f"c{c}" for c in axes), *(f"d{c}" for c in axes), *(x.cast(kind[c]).alias(c) for x, c in zip(at, axes)))
+        centres, values = by_rows(rows, (centres, axes), (pixels, axes))
+        return centres.join(values.hint("merge"), axes)
+    own = [f"c{c}" for c in axes]
+    sent = pixels.select("*", each).withColumns({f"c{c}": (F.col(c) - F.col(f"d{c}")).cast(kind[c]) for c in axes})
+    sent, centres = by_rows(rows, (sent, own), (pixels.select(*(F.col(c).alias(f"c{c}") for c in axes)), own))
+    return sent.join(centres.hint("merge"), own)
 
 
 def centre(axes: list[str]) -> list[Column]:

@@ -91,3 +91,10 @@ def test_joins_have_tasks_for_their_rows(spark, sf_dir, monkeypatch):
 
     monkeypatch.setattr(primitives, "TOGETHER", 500)
     assert catalog.queries()["inner_join"](spark, sf_dir).rdd.getNumPartitions() == 16  # of 6000 + 1500 rows
+
+
+def test_neighbourhoods_have_tasks_for_their_rows(spark, sf_dir, monkeypatch):
+    from tesserae.operators import primitives
+
+    monkeypatch.setattr(primitives, "TOGETHER", 500)
+    assert catalog.queries()["moments_3d"](spark, sf_dir).rdd.getNumPartitions() == 34 * 6**3 // 500 + 1
